@@ -22,10 +22,10 @@ def coordinate_text_round_trip(value) -> Column:
     """float -> shortest decimal text -> exact decimal -> float.
 
     Position coordinates are stored as exact decimals built from the
-    float's text form, then read back as float.
+    float's text form (no rounding), then read back as float.
     """
     c = F.col(value) if isinstance(value, str) else value
-    return c.cast("string").try_cast("decimal(9,6)").cast("double")
+    return c.cast("string").try_cast("decimal(38,18)").cast("double")
 
 
 def iso_utc_text(ts) -> Column:
