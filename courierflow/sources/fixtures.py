@@ -156,15 +156,18 @@ class Tables:
 
     @cached_property
     def order_item_raw(self) -> DataFrame:
-        """Order lines in payload order (``line_no`` 1..n within an order)."""
-        from pyspark.sql import Window as W
-        w = W.partitionBy("l_orderkey").orderBy(
-            "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-        return self.raw("lineitem").select(
+        """Order lines in payload order (``line_no`` 1..n within an order),
+        numbered with the skew-safe per-key ranking."""
+        from courierflow.operators.ranking import rank_within_key
+        li = self.raw("lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+        ranked = rank_within_key(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                                      "l_extendedprice", "l_shipdate"], out="line_no")
+        return ranked.select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("item_id"),
             F.col("l_quantity").cast("int").alias("quantity"),
-            F.row_number().over(w).alias("line_no"),
+            "line_no",
         )
 
     @cached_property
@@ -212,17 +215,27 @@ class Tables:
 
     @cached_property
     def position_message(self) -> DataFrame:
-        """Positions as raw queue messages: JSON bodies in the queue shape
-        (lat/lng), time as ISO text so no precision is lost."""
-        return self.raw("events").select(
-            F.col("event_id").alias("message_id"),
-            F.to_json(F.struct(
-                F.col("user_id").alias("courier_id"),
-                (F.lit(-23.5505) + F.col("value") / F.lit(50000.0)).alias("lat"),
-                (F.lit(-46.6333) + _k_of_props().cast("double") / F.lit(10000.0)).alias("lng"),
-                F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
-            )).alias("body"),
-        )
+        """Positions as raw queue messages (``message_id``, JSON ``body``).
+
+        Both accepted shapes occur: ``click`` events arrive in the API shape
+        (delivery_id, lat_courier/lon_courier, ISO time), the others in the
+        queue shape (lat/lng, epoch-millis time); ``error`` events arrive as
+        truncated, unparseable bodies.
+        """
+        lat = F.lit(-23.5505) + F.col("value") / F.lit(50000.0)
+        lon = F.lit(-46.6333) + _k_of_props().cast("double") / F.lit(10000.0)
+        api = F.to_json(F.struct(
+            F.col("user_id").alias("courier_id"), F.col("user_id").cast("string").alias("delivery_id"),
+            lat.alias("lat_courier"), lon.alias("lon_courier"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")))
+        queue = F.to_json(F.struct(
+            F.col("user_id").alias("courier_id"), lat.alias("lat"), lon.alias("lng"),
+            F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp")))
+        corrupt = F.concat(F.lit('{"courier_id": '), F.col("user_id").cast("string"), F.lit(', "lat": '))
+        body = (F.when(F.col("event_type") == "error", corrupt)
+                .when(F.col("event_type") == "click", api)
+                .otherwise(queue))
+        return self.raw("events").select(F.col("event_id").alias("message_id"), body.alias("body"))
 
 
 _CACHE: dict[tuple[int, str], Tables] = {}
