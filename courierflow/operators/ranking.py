@@ -7,17 +7,20 @@ a key holding a third of the table would then be a single straggler.  Here:
 1. ``repartitionByRange(key, order...)`` + sort: a hot key is split across
    many range partitions (the order columns break it up);
 2. per partition, a vectorised pass numbers rows within each key run
-   (``local_rn``), carrying the count across Arrow batches;
-3. a second pass over the *same* exchange (reused by Spark within the query)
-   emits, per partition, the row counts of its first and last key only: at
-   most two rows per partition, so that table is bounded by
-   ``2 * partitions`` and safe to broadcast;
-4. rows of a key in earlier partitions give the offset of the first key of
-   each later partition (only a partition's first key can continue a key
-   from an earlier partition).
-
-One range shuffle of the data, as a window would need; no group is ever
-collected in one place.  Keys must be non-null.
+   (``local``), carrying the count across Arrow batches;
+3. a second pass over the same sorted data emits, per partition, only its
+   first and last key runs (the run's first row and its length): at most two
+   rows per partition, so that table is bounded by ``2 * partitions`` and
+   safe to broadcast;
+4. a run's offset is the total length of the same key's runs that come
+   earlier in the global order; runs are ordered with the caller's own sort
+   expressions applied to each run's first row.
+
+Partitions are identified by a tag derived from their first row, not by the
+task's partition index (which shifts when the result is unioned with other
+data).  One range shuffle of the data, as a window would need; no group is
+ever collected in one place.  The order must be total (add a unique
+tie-breaker) and keys non-null.
 """
 
 from __future__ import annotations
@@ -26,12 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PID = "_rk_pid"
+_TAG = "_rk_tag"
 _LRN = "_rk_local"
 _CNT = "_rk_cnt"
 _OFF = "_rk_off"
 
 
+def _tag_of(pdf) -> str:
+    return repr(tuple(str(v) for v in pdf.iloc[0].tolist()))
+
+
 def _key_at(pdf, keys, i):
     return tuple(pdf[k].iat[i] for k in keys)
 
@@ -46,76 +53,80 @@ def _leading_run(pdf, keys, key) -> int:
 
 def _local_numbering(keys: list[str]):
     def fn(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
+        tag = None
         prev_key, prev_rn = None, 0
         for pdf in batches:
             if pdf.empty:
                 continue
+            if tag is None:
+                tag = _tag_of(pdf)
             rn = pdf.groupby(keys, sort=False).cumcount().to_numpy(dtype="int64") + 1
             first = _key_at(pdf, keys, 0)
             if prev_key is not None and first == prev_key:
                 rn[:_leading_run(pdf, keys, first)] += prev_rn
             prev_key, prev_rn = _key_at(pdf, keys, len(pdf) - 1), int(rn[-1])
             out = pdf.copy()
-            out[_PID] = pid
+            out[_TAG] = tag
             out[_LRN] = rn
             yield out
     return fn
 
 
-def _boundary_counts(keys: list[str]):
+def _boundary_runs(keys: list[str]):
     def fn(batches):
         import pandas as pd
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
+        tag = None
+        first_row = last_row = None  # first row of the first / last key run
         first_key = last_key = None
         first_cnt = last_cnt = 0
         first_closed = False
         for pdf in batches:
             if pdf.empty:
                 continue
-            for key, cnt in pdf.groupby(keys, sort=False).size().items():
-                key = key if isinstance(key, tuple) else (key,)
-                cnt = int(cnt)
+            if tag is None:
+                tag = _tag_of(pdf)
+            starts = pdf.groupby(keys, sort=False).head(1)
+            sizes = pdf.groupby(keys, sort=False).size()
+            for (_, row), cnt in zip(starts.iterrows(), sizes.tolist()):
+                key = tuple(row[k] for k in keys)
                 if first_key is None:
-                    first_key, first_cnt, last_key, last_cnt = key, cnt, key, cnt
+                    first_key, first_cnt, first_row = key, int(cnt), row
+                    last_key, last_cnt, last_row = key, int(cnt), row
                 elif key == last_key:
-                    last_cnt += cnt
+                    last_cnt += int(cnt)
                     if not first_closed:
-                        first_cnt += cnt
+                        first_cnt += int(cnt)
                 else:
                     first_closed = True
-                    last_key, last_cnt = key, cnt
+                    last_key, last_cnt, last_row = key, int(cnt), row
         if first_key is None:
             return
-        rows = [(pid, *first_key, first_cnt)]
+        rows = [first_row.to_dict() | {_TAG: tag, _CNT: first_cnt}]
         if first_closed:
-            rows.append((pid, *last_key, last_cnt))
-        yield pd.DataFrame(rows, columns=[_PID, *keys, _CNT])
+            rows.append(last_row.to_dict() | {_TAG: tag, _CNT: last_cnt})
+        yield pd.DataFrame(rows)
     return fn
 
 
 def rank_within_key(df: DataFrame, keys: list[str], order: list, out: str = "rn",
                     num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based row number of each row within its ``keys`` group
-    in ``order`` (column names or sort ``Column``s; make the order total for
-    deterministic results)."""
+    in ``order`` (column names or sort ``Column``s over ``df``'s columns)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    sort_cols = [F.col(k) for k in keys] + order_cols
     base = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
 
-    fields = {f.name: f for f in df.schema.fields}
     local_schema = T.StructType(df.schema.fields + [
-        T.StructField(_PID, T.IntegerType()), T.StructField(_LRN, T.LongType())])
-    bound_schema = T.StructType([T.StructField(_PID, T.IntegerType()), *[fields[k] for k in keys],
-                                 T.StructField(_CNT, T.LongType())])
+        T.StructField(_TAG, T.StringType()), T.StructField(_LRN, T.LongType())])
+    bound_schema = T.StructType(df.schema.fields + [
+        T.StructField(_TAG, T.StringType()), T.StructField(_CNT, T.LongType())])
 
     local = base.mapInPandas(_local_numbering(keys), local_schema)
-    bounds = base.mapInPandas(_boundary_counts(keys), bound_schema)
-    earlier = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bounds.select(_PID, *keys, F.coalesce(F.sum(_CNT).over(earlier), F.lit(0)).alias(_OFF))
+    bounds = base.mapInPandas(_boundary_runs(keys), bound_schema)
+    earlier = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bounds.select(_TAG, *keys, F.coalesce(F.sum(_CNT).over(earlier), F.lit(0)).alias(_OFF))
     # offsets has at most two rows per range partition: a proven size bound
-    ranked = local.join(F.broadcast(offsets), on=[_PID, *keys], how="left")
-    return ranked.withColumn(out, F.col(_LRN) + F.coalesce(F.col(_OFF), F.lit(0))).drop(_PID, _LRN, _OFF)
+    ranked = local.join(F.broadcast(offsets), on=[_TAG, *keys], how="left")
+    return ranked.withColumn(out, F.col(_LRN) + F.coalesce(F.col(_OFF), F.lit(0))).drop(_TAG, _LRN, _OFF)
