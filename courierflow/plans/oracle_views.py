@@ -116,7 +116,7 @@ SHARED: list[tuple[str, str]] = [
 ]
 
 
-def oracle(select_sql: str, ctes: list[tuple[str, str]] | tuple = ()) -> str:
+def oracle(select_sql: str, ctes: list[tuple[str, str]] | tuple = (), recursive: bool = False) -> str:
     """Full oracle statement: all logical views, shared views, extra CTEs, body."""
     parts = [f"{name} AS ({body.strip()})" for name, body in [*VIEWS, *SHARED, *ctes]]
-    return "WITH " + ",\n".join(parts) + "\n" + select_sql.strip()
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + select_sql.strip()
