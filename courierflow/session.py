@@ -31,6 +31,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if master and master.startswith("local") and not os.environ.get("SPARK_DRIVER_MEMORY"):
+        # local mode runs everything in the driver JVM: give it the heap
+        builder = builder.config("spark.driver.memory", os.environ.get("COURIERFLOW_DRIVER_MEMORY", "16g"))
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
