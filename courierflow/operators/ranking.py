@@ -73,37 +73,43 @@ def _local_numbering(keys: list[str]):
 
 
 def _boundary_runs(keys: list[str]):
+    """Per partition: the first row and length of its first and last key
+    runs.  Only the two ends of each Arrow batch are inspected (vectorised
+    run lengths), so the Python work per batch is constant."""
     def fn(batches):
         import pandas as pd
         tag = None
-        first_row = last_row = None  # first row of the first / last key run
         first_key = last_key = None
+        first_row = last_row = None
         first_cnt = last_cnt = 0
         first_closed = False
         for pdf in batches:
-            if pdf.empty:
+            n = len(pdf)
+            if n == 0:
                 continue
             if tag is None:
                 tag = _tag_of(pdf)
-            starts = pdf.groupby(keys, sort=False).head(1)
-            sizes = pdf.groupby(keys, sort=False).size()
-            for (_, row), cnt in zip(starts.iterrows(), sizes.tolist()):
-                key = tuple(row[k] for k in keys)
-                if first_key is None:
-                    first_key, first_cnt, first_row = key, int(cnt), row
-                    last_key, last_cnt, last_row = key, int(cnt), row
-                elif key == last_key:
-                    last_cnt += int(cnt)
-                    if not first_closed:
-                        first_cnt += int(cnt)
-                else:
-                    first_closed = True
-                    last_key, last_cnt, last_row = key, int(cnt), row
+            k0, k1 = _key_at(pdf, keys, 0), _key_at(pdf, keys, n - 1)
+            lead = _leading_run(pdf, keys, k0)
+            trail = n if k0 == k1 else _leading_run(pdf, keys, k1)
+            if first_key is None:
+                first_key, first_cnt, first_row = k0, lead, pdf.iloc[0]
+                last_key, last_cnt, last_row = k0, lead, pdf.iloc[0]
+            elif k0 == last_key:
+                last_cnt += lead
+                if not first_closed:
+                    first_cnt += lead
+            else:
+                first_closed = True
+                last_key, last_cnt, last_row = k0, lead, pdf.iloc[0]
+            if k0 != k1:
+                first_closed = True
+                last_key, last_cnt, last_row = k1, trail, pdf.iloc[n - trail]
         if first_key is None:
             return
-        rows = [first_row.to_dict() | {_TAG: tag, _CNT: first_cnt}]
+        rows = [first_row.to_dict() | {_TAG: tag, _CNT: int(first_cnt)}]
         if first_closed:
-            rows.append(last_row.to_dict() | {_TAG: tag, _CNT: last_cnt})
+            rows.append(last_row.to_dict() | {_TAG: tag, _CNT: int(last_cnt)})
         yield pd.DataFrame(rows)
     return fn
 
