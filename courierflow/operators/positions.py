@@ -22,8 +22,10 @@ REASON_UNKNOWN_COURIER = "Courier not found."
 def _parse_time(text):
     """ISO text or epoch-millis number -> timestamp_ntz (UTC wall clock).
     ``try_*`` forms: ANSI mode is on, a bad value must give null, not fail."""
+    # epoch millis are UTC: add them to the naive epoch (no session time zone)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     millis = F.when(text.rlike(r"^-?[0-9]+$"),
-                    F.timestamp_millis(text.try_cast("bigint")).cast("timestamp_ntz"))
+                    F.timestamp_add("MILLISECOND", text.try_cast("bigint"), epoch))
     return F.coalesce(millis, text.try_cast("timestamp_ntz"))
 
 

@@ -230,7 +230,8 @@ class Tables:
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")))
         queue = F.to_json(F.struct(
             F.col("user_id").alias("courier_id"), lat.alias("lat"), lon.alias("lng"),
-            F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp")))
+            F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+            .alias("timestamp")))
         corrupt = F.concat(F.lit('{"courier_id": '), F.col("user_id").cast("string"), F.lit(', "lat": '))
         body = (F.when(F.col("event_type") == "error", corrupt)
                 .when(F.col("event_type") == "click", api)
