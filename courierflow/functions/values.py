@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -34,8 +34,9 @@ def iso_utc_text(ts) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def patch_coalesce(base: DataFrame, patch: DataFrame, key: str, columns: list[str],
-                   base_alias: str = "b", patch_alias: str = "p") -> list[Column]:
-    """Column list for a partial update: a non-null patch value replaces the
-    base value, a null keeps it.  ``base`` and ``patch`` must be aliased."""
-    return [F.coalesce(F.col(f"{patch_alias}.{c}"), F.col(f"{base_alias}.{c}")).alias(c) for c in columns]
+def patch_coalesce(patch_value, stored_value) -> Column:
+    """partial update of one column - a non-null patch value replaces the
+    stored value, a null keeps it."""
+    p = F.col(patch_value) if isinstance(patch_value, str) else patch_value
+    b = F.col(stored_value) if isinstance(stored_value, str) else stored_value
+    return F.coalesce(p, b)

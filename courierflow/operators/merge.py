@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courierflow.functions.values import patch_coalesce
 from courierflow.operators.ranking import rank_within_key
 
 
@@ -61,7 +62,7 @@ def apply_patches(table: DataFrame, patches: DataFrame, key: str, columns: list[
     rejected = p.where(F.col("reject_reason").isNotNull()).drop(*helper)
     accepted = p.where(F.col("reject_reason").isNull()).select(key, *[F.col(c).alias(f"_p_{c}") for c in columns])
     merged = table.join(accepted, key, "left")
-    out = merged.select(*[F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in columns else F.col(c)
+    out = merged.select(*[patch_coalesce(f"_p_{c}", c).alias(c) if c in columns else F.col(c)
                           for c in table.columns])
     return out, rejected
 
