@@ -29,9 +29,11 @@ def coordinate_text_round_trip(value) -> Column:
 
 
 def iso_utc_text(ts) -> Column:
-    """Naive-UTC timestamp as ISO-8601 text with microseconds."""
+    """Naive-UTC timestamp as ISO-8601 text: microseconds when non-zero,
+    none otherwise (the usual ``isoformat`` rendering)."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.when(F.date_format(c, "SSSSSS") == F.lit("000000"), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")) \
+        .otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
 def patch_coalesce(patch_value, stored_value) -> Column:

@@ -280,7 +280,8 @@ def q_money_cast(spark, sf_dir):
 @register("position_to_text", "F4", oracle("""
     SELECT CAST(courier_id AS BIGINT) AS courier_id, delivery_id,
            lat AS lat_courier, lon AS lon_courier,
-           strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp
+           CASE WHEN strftime(ts, '%f') = '000000' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+                ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp
     FROM d_position"""))
 def q_position_to_text(spark, sf_dir):
     p = tables(spark, sf_dir).position

@@ -173,3 +173,12 @@ def test_delivery_update_unknown_courier_not_found(spark):
                  ru.validate_delivery_update(patches, delivery, orders, courier, ev).collect())
     assert out == [(1, 5, None), (1, 6, "Courier is currently busy with another delivery."),
                    (1, 99, "Courier not found."), (3, 5, "Delivery not found.")]
+
+
+def test_iso_text_and_coordinate_round_trip(spark):
+    from courierflow.functions.values import coordinate_text_round_trip, iso_utc_text
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 12, 0, 0), -23.5505131),
+                                (dt.datetime(2024, 1, 1, 12, 0, 0, 5), 0.1 + 0.2)], "ts timestamp_ntz, x double")
+    out = df.select(iso_utc_text("ts").alias("t"), coordinate_text_round_trip("x").alias("y"), "x").collect()
+    assert [r.t for r in out] == ["2024-01-01T12:00:00", "2024-01-01T12:00:00.000005"]
+    assert all(r.y == r.x for r in out)
