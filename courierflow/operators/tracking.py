@@ -176,37 +176,43 @@ def last_location(position: DataFrame) -> DataFrame:
         F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
 
 
+def delivery_side(delivery: DataFrame, courier: DataFrame, event: DataFrame,
+                  position: DataFrame | None = None, with_location: bool = True) -> DataFrame:
+    """Everything the tracking view needs about an order's delivery, one row
+    per order_id: delivery ⟕ latest status (on delivery id) ⟕ courier ⟕ last
+    courier position (both fleet-sized, on courier id)."""
+    d = delivery.select(F.col("id").alias("delivery_id"), "order_id", "courier_id")
+    st = latest_status(event).select("delivery_id", "status")
+    c = courier.select(F.col("id").alias("courier_id"), F.col("name").alias("courier_name"),
+                       F.col("vehicle").alias("courier_vehicle"))
+    out = d.join(st, "delivery_id", "left").join(c, "courier_id", "left")
+    if with_location and position is not None:
+        loc = last_location(position).select(
+            "courier_id", F.col("ts").alias("location_ts"), F.col("delivery_id").alias("location_delivery_id"),
+            F.col("lat").alias("location_lat"), F.col("lon").alias("location_lon"))
+        return out.join(loc, "courier_id", "left")
+    return (out.withColumn("location_ts", F.lit(None).cast("timestamp_ntz"))
+            .withColumn("location_delivery_id", F.lit(None).cast("string"))
+            .withColumn("location_lat", F.lit(None).cast("double"))
+            .withColumn("location_lon", F.lit(None).cast("double")))
+
+
 def order_tracking(orders: DataFrame, order_item: DataFrame, item: DataFrame, restaurant: DataFrame,
                    users: DataFrame, delivery: DataFrame, courier: DataFrame, event: DataFrame,
                    position: DataFrame | None = None, with_location: bool = True) -> DataFrame:
     """The full order view, one row per order.
 
-    order + restaurant + user (n:1) ⟕ line totals (1:1) ⟕ delivery (1:1,
-    order_id is unique) ⟕ courier (n:1) ⟕ latest status (1:1) ⟕ last courier
-    position (n:1).  Every right side is already one row per join key.
+    The delivery side (delivery, status, courier, last position) is
+    assembled first and keyed by order id, so the wide order rows are joined
+    to it and to the per-order line totals on one key: after the (n:1) user
+    join, the order side is shuffled once by order id.  Every right side is
+    already one row per join key, so no join multiplies rows.
     ``with_location=False`` leaves the location null (listing form).
     """
     h = order_header(orders, restaurant, users)
     totals = order_line_totals(order_item, item).withColumnRenamed("order_id", "id")
-    d = delivery.select(F.col("order_id").alias("id"), F.col("id").alias("delivery_id"), "courier_id")
-    c = courier.select(F.col("id").alias("courier_id"), F.col("name").alias("courier_name"),
-                       F.col("vehicle").alias("courier_vehicle"))
-    st = latest_status(event).select("delivery_id", "status")
-    out = (h.join(totals, "id", "left")
-           .join(d, "id", "left")
-           .join(c, "courier_id", "left")
-           .join(st, "delivery_id", "left"))
-    if with_location and position is not None:
-        loc = last_location(position).select(
-            "courier_id", F.col("ts").alias("location_ts"), F.col("delivery_id").alias("location_delivery_id"),
-            F.col("lat").alias("location_lat"), F.col("lon").alias("location_lon"))
-        # a location belongs to the view only when the order has a delivery
-        out = out.join(loc, "courier_id", "left")
-    else:
-        out = (out.withColumn("location_ts", F.lit(None).cast("timestamp_ntz"))
-               .withColumn("location_delivery_id", F.lit(None).cast("string"))
-               .withColumn("location_lat", F.lit(None).cast("double"))
-               .withColumn("location_lon", F.lit(None).cast("double")))
+    ds = delivery_side(delivery, courier, event, position, with_location).withColumnRenamed("order_id", "id")
+    out = h.join(totals, "id", "left").join(ds, "id", "left")
     return out.select(
         "id", "restaurant_id", "restaurant_name", "user_id", "user_email", "user_name", "created_at",
         F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
