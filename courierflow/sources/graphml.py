@@ -63,11 +63,21 @@ def _attr(kv, ids: dict[str, str], name: str):
     return F.element_at(kv, F.lit(ids[name])) if name in ids else F.lit(None).cast("string")
 
 
+def _read(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
+    return (spark.read.format("xml").option("rowTag", tag).option("recursiveFileLookup", "true")
+            .schema(schema).load(path))
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """GraphML folder(s) -> (node(id, lat, lon), edge(u, v, length))."""
-    keys = spark.read.format("xml").option("rowTag", "key").schema(KEY_SCHEMA).load(path + "/keys")
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(NODE_SCHEMA).load(path + "/nodes")
-    edges = spark.read.format("xml").option("rowTag", "edge").schema(EDGE_SCHEMA).load(path + "/edges")
+    """GraphML file(s) -> (node(id, lat, lon), edge(u, v, length)).
+
+    ``path`` is one GraphML document, or a folder of them (searched
+    recursively); each element kind is read from the same files with its
+    own row tag, so a single-file street network and the folders written
+    by :func:`write_graphml` both work."""
+    keys = _read(spark, path, "key", KEY_SCHEMA)
+    nodes = _read(spark, path, "node", NODE_SCHEMA)
+    edges = _read(spark, path, "edge", EDGE_SCHEMA)
     nid, eid = _key_ids(keys, "node"), _key_ids(keys, "edge")
     kv = F.map_from_entries(F.transform("data", lambda d: F.struct(d["_key"], d["_VALUE"])))
     n = nodes.select(
