@@ -5,7 +5,7 @@ Delivery guarantees: the source offsets and the sink writes are tied by the
 checkpoint.  Each ``foreachBatch`` write replaces exactly the partition of
 its own epoch (dynamic partition overwrite), so a micro-batch that is
 re-run after a failure rewrites the same rows instead of adding copies.  The
-reference's "retry after 2 s" loop becomes the query restart policy.
+original "retry after 2 s" loop becomes the query restart policy.
 """
 
 from __future__ import annotations
