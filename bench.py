@@ -51,6 +51,7 @@ def main() -> None:
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(int(cpus) * 8))
     # warm-up: JVM, parquet footers, Python workers
     entries["kitchen_list"].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    spark.range(0, 64, 1, int(cpus)).mapInPandas(lambda it: it, "id bigint").write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
     for name in names:
