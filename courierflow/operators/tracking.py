@@ -288,3 +288,25 @@ def delivery_track(position: DataFrame) -> DataFrame:
     p = position.where(F.col("delivery_id").isNotNull())
     ranked = rank_within_key(p, ["delivery_id"], ["ts", "arrival_seq"], out="seq")
     return ranked.select("delivery_id", "seq", "ts", "courier_id", "lat", "lon")
+
+
+# -- single-key lookups (the request-time forms of T3, T4, P6) ------------------
+
+def last_location_of(position: DataFrame, courier_id: int) -> DataFrame:
+    """T3 for one courier: descending range read with limit 1.  The filter
+    reaches the scan; ordering + limit plan as a top-1 (TakeOrderedAndProject)."""
+    return (position.where(F.col("courier_id") == F.lit(courier_id))
+            .orderBy(F.col("ts").desc(), F.col("arrival_seq").desc()).limit(1)
+            .select("courier_id", "ts", "delivery_id", "lat", "lon"))
+
+
+def track_of(position: DataFrame, delivery_id: str) -> DataFrame:
+    """T4 for one delivery: its positions in time order."""
+    return (position.where(F.col("delivery_id") == F.lit(delivery_id))
+            .orderBy("ts", "arrival_seq").select("delivery_id", "ts", "courier_id", "lat", "lon"))
+
+
+def orders_of_user(orders: DataFrame, user_id: int) -> DataFrame:
+    """P6 for one user: newest first (ties by higher id)."""
+    return (orders.where(F.col("user_id") == F.lit(user_id))
+            .orderBy(F.col("created_at").desc(), F.col("id").desc()))

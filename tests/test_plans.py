@@ -37,3 +37,16 @@ def test_per_user_rank_has_no_window_over_orders(spark):
     assert "rangepartitioning" in plan
     window_lines = [l for l in plan.splitlines() if l.strip().startswith("Window") or "Window (" in l]
     assert len(window_lines) <= 2
+
+
+def test_single_key_lookups(spark):
+    t = tables(spark, SF)
+    one = tr.last_location_of(t.position, 7).collect()
+    batch = {r.courier_id: r for r in tr.last_location(t.position).collect()}
+    assert len(one) == 1 and one[0].ts == batch[7].ts and one[0].lat == batch[7].lat
+    plan = _plan(tr.last_location_of(t.position, 7))
+    assert "TakeOrderedAndProject" in plan and "EqualTo(user_id,7)" in plan
+    track = [r.ts for r in tr.track_of(t.position, "7").collect()]
+    assert track == sorted(track) and len(track) > 0
+    mine = tr.orders_of_user(t.orders, 1).collect()
+    assert all(a.created_at >= b.created_at for a, b in zip(mine, mine[1:]))
