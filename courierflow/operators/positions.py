@@ -101,3 +101,11 @@ def position_put(reports: DataFrame, courier: DataFrame) -> DataFrame:
     known = F.coalesce(F.col("_known"), F.lit(False))
     return out.select(*[x for x in reports.columns], known.alias("accepted"),
                       F.when(~known, F.lit(REASON_UNKNOWN_COURIER)).alias("reject_reason"))
+
+
+def stamp_server_time(reports: DataFrame, col: str = "ts") -> DataFrame:
+    """S4 live form: the server's receive time as naive UTC (epoch micros of
+    ``current_timestamp()`` added to the naive epoch, so the session time
+    zone plays no part).  Never used in checked queries (not repeatable)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return reports.withColumn(col, F.timestamp_add("MICROSECOND", F.unix_micros(F.current_timestamp()), epoch))

@@ -182,3 +182,16 @@ def test_iso_text_and_coordinate_round_trip(spark):
     out = df.select(iso_utc_text("ts").alias("t"), coordinate_text_round_trip("x").alias("y"), "x").collect()
     assert [r.t for r in out] == ["2024-01-01T12:00:00", "2024-01-01T12:00:00.000005"]
     assert all(r.y == r.x for r in out)
+
+
+def test_server_time_is_utc_wall_clock(spark):
+    before = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.createDataFrame([(7,)], "courier_id bigint")
+        got = po.stamp_server_time(df).first().ts
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    after = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    assert before - dt.timedelta(seconds=1) <= got <= after + dt.timedelta(seconds=1)
