@@ -24,6 +24,7 @@ CHUNK_BYTES = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_LENGTH = 0x9DDFEA08EB382D69
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,7 +108,7 @@ def _split(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     total = np.zeros(n + 1, _U)
     np.cumsum(folded.astype(_U) * power[:n], out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts]
-    return starts, ends, mix(h + (ends - starts).astype(_U) * _U(0x9DDFEA08EB382D69))
+    return starts, ends, mix(h + (ends - starts).astype(_U) * _U(_LENGTH))
 
 
 def word_chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -139,8 +140,8 @@ def word_chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, in
 
 def word_hash(word: str) -> int:
     """The hash :func:`word_chunks` gives to ``word`` (one word, any case)."""
-    raw = np.frombuffer(word.encode(), np.uint8)
-    _, _, h = _split(raw, np.array([0, len(raw)]))
-    if len(h) != 1:
+    raw = [int(FOLD[b]) for b in word.encode()]
+    if not raw or 0 in raw:
         raise ValueError(f"not one word: {word!r}")
-    return int(h[0])
+    total = sum(b * pow(_BASE, i, 1 << 64) for i, b in enumerate(raw)) + len(raw) * _LENGTH
+    return int(mix(np.array([total % (1 << 64)], _U))[0])
