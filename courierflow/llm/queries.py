@@ -6,9 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from courierflow.llm.common import table
 from courierflow.llm.exact_dedup import exact_dedup
+from courierflow.llm.license_scan import license_scan
 from courierflow.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +38,9 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@_register("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.label, s.first_word, s.last_word)), ",")
+    return license_scan(table(spark, sf_dir, "documents")).withColumn("spans", spans)
