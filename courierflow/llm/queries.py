@@ -12,6 +12,7 @@ from courierflow.llm.common import table
 from courierflow.llm.exact_dedup import exact_dedup
 from courierflow.llm.license_scan import license_scan
 from courierflow.llm.packing import pack
+from courierflow.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +45,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.label, s.first_word, s.last_word)), ",")
     return license_scan(table(spark, sf_dir, "documents")).withColumn("spans", spans)
+
+
+@_register("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))

@@ -49,6 +49,24 @@ def vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(back[c] for c in piece): i for piece, i in held["model"]["vocab"].items() if piece not in special}
 
 
+def cut_pieces(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the pieces of ``data`` (not empty), and where it has space or line feed.
+
+    A piece begins at a break and where a space or line feed follows another byte."""
+    n = len(data)
+    gap = (data == 32) | (data == 10)
+    first = np.zeros(n + 1, bool)
+    first[1:-1] = gap[1:] & ~gap[:-1]
+    first[breaks] = True
+    first[n] = True
+    cuts = np.flatnonzero(first)
+    s, e = cuts[:-1], cuts[1:]
+    power, inverse = _powers(n + 1)
+    total = np.zeros(n + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * power[:n], out=total[1:])
+    return s, e, mix((total[e] - total[s]) * inverse[s] + (e - s).astype(_U) * _U(0x9DDFEA08EB382D69)), gap
+
+
 class TokenIds:
     """Encoder of one task; ids are unsigned 32-bit."""
 
@@ -98,18 +116,7 @@ class TokenIds:
 
     def _chunk(self, data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``data`` and, for each break but the last, how many ids follow it up to the next."""
-        n = len(data)
-        gap = (data == 32) | (data == 10)
-        first = np.zeros(n + 1, bool)
-        first[1:-1] = gap[1:] & ~gap[:-1]
-        first[breaks] = True
-        first[n] = True
-        cuts = np.flatnonzero(first)
-        s, e = cuts[:-1], cuts[1:]
-        power, inverse = _powers(n + 1)
-        total = np.zeros(n + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * power[:n], out=total[1:])
-        h = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(_U) * _U(0x9DDFEA08EB382D69))
+        s, e, h, gap = cut_pieces(data, breaks)
         back, keys = pd.factorize(h)
         where = np.zeros(len(keys), np.int64)
         where[back[::-1]] = np.arange(len(back) - 1, -1, -1)
@@ -133,7 +140,7 @@ class TokenIds:
         size = self.size[slot]
         before = np.cumsum(size) - size
         ids = self.pool[np.repeat(self.start[slot] - before, size) + np.arange(int(size.sum()))]
-        ends = np.concatenate([before, [len(ids)]])[np.searchsorted(cuts, breaks)]
+        ends = np.concatenate([before, [len(ids)]])[np.searchsorted(s, breaks)]
         return ids, np.diff(ends)
 
     def _one(self, data: np.ndarray) -> np.ndarray:
