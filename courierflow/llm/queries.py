@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from courierflow.llm.common import table
 from courierflow.llm.exact_dedup import exact_dedup
 from courierflow.llm.license_scan import license_scan
+from courierflow.llm.mixing import DRAW_MEAN, DRAW_TERMS, mix_sources
 from courierflow.llm.packing import pack
 from courierflow.llm.token_counts import token_counts
 
@@ -50,3 +51,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+MIX_SEED, MIX_POWER = 7, 0.5
+
+
+@_register("op7_mixing", sql=f"""
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, ((SELECT sum(n) FROM counts) / (SELECT sum(pow(n::DOUBLE, {MIX_POWER})) FROM counts)) * pow(n::DOUBLE, {MIX_POWER}) / n AS rate FROM counts),
+parts AS (SELECT source, rate, greatest(ceil(rate / {DRAW_MEAN}), 1)::INT AS m FROM rates),
+terms AS (SELECT source, 0 AS k, exp(-(rate / m)) AS term, exp(-(rate / m)) AS total FROM parts
+          UNION ALL
+          SELECT t.source, k + 1, term * (rate / m) / (k + 1), total + term * (rate / m) / (k + 1)
+          FROM terms t JOIN parts p ON t.source IS NOT DISTINCT FROM p.source WHERE k < {DRAW_TERMS}),
+inverse AS (SELECT source, list(total ORDER BY k) AS steps FROM terms GROUP BY source),
+drawn AS (SELECT d.*, rate, (
+            SELECT sum(len(list_filter(steps, lambda c: c <= ('0x' || substr(md5(concat('{MIX_SEED}:', coalesce(doc_id::VARCHAR, ''), ':', j)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)))
+            FROM unnest(range(1, m + 1)) AS draws(j))::INT AS n_copies
+          FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source JOIN inverse i ON d.source IS NOT DISTINCT FROM i.source)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n_copies + 1))::INT AS copy, n_copies, rate FROM drawn WHERE n_copies > 0""")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), power=MIX_POWER, seed=MIX_SEED)
