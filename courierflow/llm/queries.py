@@ -12,6 +12,7 @@ from courierflow.llm.common import table
 from courierflow.llm.exact_dedup import exact_dedup
 from courierflow.llm.license_scan import license_scan
 from courierflow.llm.mixing import DRAW_MEAN, DRAW_TERMS, mix_sources
+from courierflow.llm.nearest import nearest
 from courierflow.llm.packing import pack
 from courierflow.llm.token_counts import token_counts
 
@@ -72,3 +73,8 @@ drawn AS (SELECT d.*, rate, (
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n_copies + 1))::INT AS copy, n_copies, rate FROM drawn WHERE n_copies > 0""")
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), power=MIX_POWER, seed=MIX_SEED)
+
+
+@_register("op9_nearest")
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), query_step=20, k=20)
