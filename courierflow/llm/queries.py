@@ -15,6 +15,7 @@ from courierflow.llm.line_dedup import MIN_WORDS, line_dedup
 from courierflow.llm.mixing import DRAW_MEAN, DRAW_TERMS, mix_sources
 from courierflow.llm.nearest import nearest
 from courierflow.llm.packing import pack
+from courierflow.llm.pii import find_personal_data, span_digest
 from courierflow.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,7 +85,8 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op3_line_dedup", sql=rf"""
 WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 split AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM raw),
-keyed AS (SELECT doc_id, no, trim(line, E' 	') AS line FROM split),
+keyed AS (SELECT doc_id, no, trim(line, E' 	
+') AS line FROM split),
 lines AS (SELECT doc_id, no, line, len(regexp_split_to_array(line, '\s+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS n FROM keyed WHERE line <> ''),
 sums AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM lines),
 windows AS (
@@ -97,7 +99,13 @@ content AS (SELECT x.doc_id, i, j, string_agg(line, chr(10) ORDER BY n) AS body
 ranked AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS copy FROM content),
 gone AS (SELECT DISTINCT l.doc_id, l.no FROM ranked r JOIN lines l ON l.doc_id = r.doc_id AND l.n BETWEEN i AND j WHERE copy > 1)
 SELECT s.doc_id, coalesce(string_agg(s.line, chr(10) ORDER BY s.no) FILTER (WHERE g.no IS NULL), '') AS text,
-       count(*) FILTER (WHERE trim(s.line, E' 	') <> '') AS n_lines, count(g.no) AS n_removed
+       count(*) FILTER (WHERE trim(s.line, E' 	
+') <> '') AS n_lines, count(g.no) AS n_removed
 FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.no = g.no GROUP BY s.doc_id""")
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@_register("op6_personal_data")
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(find_personal_data(table(spark, sf_dir, "documents")))
