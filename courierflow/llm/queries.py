@@ -16,6 +16,7 @@ from courierflow.llm.mixing import DRAW_MEAN, DRAW_TERMS, mix_sources
 from courierflow.llm.nearest import nearest
 from courierflow.llm.packing import pack
 from courierflow.llm.pii import find_personal_data, span_digest
+from courierflow.llm.quality import classify
 from courierflow.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op6_personal_data")
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@_register("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep_text=False)
