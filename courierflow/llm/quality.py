@@ -38,7 +38,7 @@ from courierflow.llm.common import FOLD, buffers, mix, text_of, word_chunks, wri
 
 FIT_ROWS = 8000
 BUCKETS = 1 << 16
-CHOSEN = 400
+CHOSEN = 1000
 MAX_BROADCAST_PATHS = 200_000
 _ADDED = ["evidence", "prior", "posterior", "kept"]
 _SHAPES = ["log_words", "upper", "symbols", "digits", "repeats", "word_bytes", "lines", "no_words"]
@@ -114,7 +114,7 @@ def _evidence(parts: tuple, data: np.ndarray, offsets: np.ndarray) -> np.ndarray
     return out
 
 
-def fit(bad: np.ndarray, shapes: np.ndarray, hashed: list[np.ndarray], l2: float = 1e-3, rounds: int = 400) -> Model:
+def fit(bad: np.ndarray, shapes: np.ndarray, hashed: list[np.ndarray], l2: float = 2e-5, rounds: int = 800) -> Model:
     """Fit on the driver: the CHOSEN buckets whose log odds stand out most, then accelerated gradient descent."""
     y = bad.astype(np.float64)
     rows = np.repeat(np.arange(len(hashed)), [len(x) for x in hashed])
