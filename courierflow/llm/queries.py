@@ -13,6 +13,7 @@ from courierflow.llm.exact_dedup import exact_dedup
 from courierflow.llm.license_scan import license_scan
 from courierflow.llm.line_dedup import MIN_WORDS, line_dedup
 from courierflow.llm.mixing import DRAW_MEAN, DRAW_TERMS, mix_sources
+from courierflow.llm.near_dup import near_duplicates
 from courierflow.llm.nearest import nearest
 from courierflow.llm.packing import pack
 from courierflow.llm.pii import find_personal_data, span_digest
@@ -115,3 +116,22 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op5_quality")
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep_text=False)
+
+
+@_register("op1_near_duplicates", sql=r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM words),
+copies AS (SELECT s, min(doc_id) AS copy_id, count(*) AS n_copies FROM sets GROUP BY s),
+shingles AS (SELECT copy_id, len(s) AS size, unnest(s) AS shingle FROM copies),
+shared AS (SELECT a.copy_id AS a, b.copy_id AS b, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) AS n
+           FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.copy_id <> b.copy_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 5 * n >= 4 * (sa + sb - n)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a, least(a, min(b)) AS class_id FROM reach GROUP BY a),
+degree AS (SELECT l.a, sum(c.n_copies) AS n FROM links l JOIN copies c ON c.copy_id = l.b GROUP BY l.a)
+SELECT d.doc_id, coalesce(k.class_id, c.copy_id) AS class_id, c.copy_id, c.n_copies, (coalesce(g.n, 0) + c.n_copies - 1)::BIGINT AS n_links
+FROM sets d JOIN copies c ON d.s = c.s LEFT JOIN classes k ON k.a = c.copy_id LEFT JOIN degree g ON g.a = c.copy_id""")
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
