@@ -32,7 +32,3 @@ def great_circle_sql(lat1: str, lon1: str, lat2: str, lon2: str, radius: float =
         f"cos(radians({lat1})) * cos(radians({lat2})) * "
         f"power(sin((radians({lon2}) - radians({lon1})) / 2), 2)))))"
     )
-
-
-def metres_per_degree_lat(radius: float = EARTH_RADIUS_M) -> float:
-    return math.pi * radius / 180.0

@@ -12,12 +12,6 @@ def money_to_float(price) -> Column:
     return c.cast("double")
 
 
-def money_from_float(value) -> Column:
-    """double -> numeric(10,2); ``try_cast`` so overflow gives null, not a crash."""
-    c = F.col(value) if isinstance(value, str) else value
-    return c.try_cast("decimal(10,2)")
-
-
 def coordinate_text_round_trip(value) -> Column:
     """float -> shortest decimal text -> exact decimal -> float.
 

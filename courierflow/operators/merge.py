@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from courierflow.functions.values import patch_coalesce
 from courierflow.operators.ranking import rank_within_key
+from courierflow.schema import (REASON_BAD_QUANTITY, REASON_DUP_ITEM, REASON_ITEM_NOT_IN_RESTAURANT,
+                                REASON_ORDER_NOT_FOUND)
 
 
 def assign_ids(batch: DataFrame, order: list, start_after: DataFrame | int, id_col: str = "id") -> DataFrame:
@@ -79,28 +81,55 @@ def replace_order_items(order_item: DataFrame, patches: DataFrame) -> DataFrame:
     return kept.unionByName(new_lines.select(*order_item.columns))
 
 
+def check_order_patches(patches: DataFrame, orders: DataFrame, item: DataFrame) -> DataFrame:
+    """M2/M3: order patches (order_id, items) with a ``reject_reason``: every
+    quantity at least 1, the order exists, and, line by line, the item is not
+    a repeat and belongs to the order's restaurant.  Null items are not
+    checked (the lines stay)."""
+    o = orders.select(F.col("id").alias("order_id"), F.col("restaurant_id").alias("_rest"))
+    known = patches.join(o, "order_id", "left")
+    lines = known.where(F.col("items").isNotNull()).select(
+        "order_id", "_rest", F.transform("items", lambda x: x["item_id"]).alias("_ids"), F.posexplode("items").alias("_pos", "_l"))
+    i = item.select(F.col("id").alias("_item"), F.col("restaurant_id").alias("_item_rest"))
+    repeat = F.array_position("_ids", F.col("_l.item_id")) <= F.col("_pos")
+    fail = F.when(repeat, F.struct("_pos", F.lit(REASON_DUP_ITEM).alias("reason"))).when(
+        ~F.col("_item_rest").eqNullSafe(F.col("_rest")), F.struct("_pos", F.lit(REASON_ITEM_NOT_IN_RESTAURANT).alias("reason")))
+    seen = lines.join(i, lines["_l.item_id"] == F.col("_item"), "left").groupBy("order_id").agg(
+        F.min(fail).alias("_fail"), F.bool_or(F.coalesce(F.col("_l.quantity"), F.lit(1)) < 1).alias("_bad_quantity"))
+    reason = (F.when(F.col("_bad_quantity"), F.lit(REASON_BAD_QUANTITY))
+              .when(F.col("_rest").isNull(), F.lit(REASON_ORDER_NOT_FOUND))
+              .otherwise(F.col("_fail.reason")))
+    return known.join(seen, "order_id", "left").select(*patches.columns, reason.alias("reject_reason"))
+
+
 def apply_deletes(requests: DataFrame, table: DataFrame, refusing_children: list[tuple[DataFrame, str]],
-                  cascades: list[tuple[DataFrame, str]] | tuple = ()) -> DataFrame:
+                  cascades: list[tuple] | tuple = ()) -> DataFrame:
     """M4: delete requests (``id``) against ``table``.  A request is
     ``not found`` when the id is unknown, ``refused`` when a child without
-    delete cascade still references it, else ``deleted`` with the number of
-    cascaded child rows.  Returns the outcome per request."""
+    delete cascade still references it or one of the children that would go
+    with it, else ``deleted`` with the number of cascaded child rows.
+
+    ``cascades``: (child, fk) or (child, fk, [(grandchild, fk to child id)]);
+    a referenced grandchild's key refuses the whole request, as the foreign
+    key without cascade does.  Returns the outcome per request."""
     req = requests.select("id").distinct()
     t = table.select("id").withColumn("_found", F.lit(True))
     out = req.join(t, "id", "left")
-    refused = None
-    for child, fk in refusing_children:
-        refs = child.select(F.col(fk).alias("id")).where(F.col("id").isNotNull()).distinct().withColumn(f"_ref_{fk}", F.lit(True))
-        out = out.join(refs, "id", "left")
-        cond = F.col(f"_ref_{fk}").isNotNull()
-        refused = cond if refused is None else (refused | cond)
+    refs = [child.select(F.col(fk).alias("id")) for child, fk in refusing_children]
     n_cascade = F.lit(0).cast("bigint")
-    for i, (child, fk) in enumerate(cascades):
+    for i, (child, fk, *held_by) in enumerate(cascades):
         cnt = child.groupBy(F.col(fk).alias("id")).agg(F.count(F.lit(1)).alias(f"_n_{i}"))
         out = out.join(cnt, "id", "left")
         n_cascade = n_cascade + F.coalesce(F.col(f"_n_{i}"), F.lit(0))
+        for grandchild, child_fk in held_by[0] if held_by else ():
+            held = grandchild.select(F.col(child_fk).alias("_child")).distinct()
+            refs.append(child.join(held, child["id"] == held["_child"], "left_semi").select(F.col(fk).alias("id")))
+    refused = F.lit(False)
+    for j, ref in enumerate(refs):
+        out = out.join(ref.where(F.col("id").isNotNull()).distinct().withColumn(f"_ref_{j}", F.lit(True)), "id", "left")
+        refused = refused | F.col(f"_ref_{j}").isNotNull()
     outcome = (F.when(F.col("_found").isNull(), F.lit("not found"))
-               .when(refused if refused is not None else F.lit(False), F.lit("refused"))
+               .when(refused, F.lit("refused"))
                .otherwise(F.lit("deleted")))
     return out.select("id", outcome.alias("outcome"),
                       F.when(outcome == "deleted", n_cascade).otherwise(F.lit(0).cast("bigint")).alias("n_cascaded"))

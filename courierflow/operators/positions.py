@@ -19,6 +19,9 @@ REASON_NO_COORDS = "missing or invalid coordinates"
 REASON_UNKNOWN_COURIER = "Courier not found."
 
 
+_ZONED = r"[0-9]{1,2}:[0-9]{2}.*([Zz]|[+-][0-9]{1,2}(:?[0-9]{2})?|[A-Za-z]+/[A-Za-z_]+|UTC|GMT)\s*$"
+
+
 def _parse_time(text):
     """ISO text or epoch-millis number -> timestamp_ntz (UTC wall clock).
     ``try_*`` forms: ANSI mode is on, a bad value must give null, not fail."""
@@ -26,7 +29,10 @@ def _parse_time(text):
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     millis = F.when(text.rlike(r"^-?[0-9]+$"),
                     F.timestamp_add("MILLISECOND", text.try_cast("bigint"), epoch))
-    return F.coalesce(millis, text.try_cast("timestamp_ntz"))
+    # a zone or offset after the clock time makes it an instant: to UTC, then naive
+    instant = F.timestamp_add("MICROSECOND", F.unix_micros(text.try_cast("timestamp")), epoch)
+    zoned = F.when(text.rlike(_ZONED), instant)
+    return F.coalesce(millis, zoned, F.when(~text.rlike(_ZONED), text.try_cast("timestamp_ntz")))
 
 
 def parse_messages(raw: DataFrame, batch_size: int = RECEIVE_BATCH_SIZE) -> DataFrame:
@@ -58,7 +64,7 @@ def valid_positions(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
-def position_rejects(parsed: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+def position_rejects(parsed: DataFrame) -> DataFrame:
     """Messages that cannot become positions, with the reason.  One bad
     body no longer blocks its batch: it is routed aside."""
     return parsed.where(F.col("reject_reason").isNotNull()).select("message_id", "batch_id", "reject_reason")

@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from courierflow.session import checkpoint_dir
+
 _TAG = "_rk_tag"
 _LRN = "_rk_local"
 _CNT = "_rk_cnt"
 _OFF = "_rk_off"
+_EDGE = "_rk_edge"
 
 
 def _tag_of(pdf) -> str:
@@ -55,11 +58,13 @@ def _local_numbering(keys: list[str]):
     def fn(batches):
         tag = None
         prev_key, prev_rn = None, 0
+        first_key, in_first = None, True
         for pdf in batches:
             if pdf.empty:
                 continue
             if tag is None:
                 tag = _tag_of(pdf)
+                first_key = _key_at(pdf, keys, 0)
             rn = pdf.groupby(keys, sort=False).cumcount().to_numpy(dtype="int64") + 1
             first = _key_at(pdf, keys, 0)
             if prev_key is not None and first == prev_key:
@@ -68,6 +73,10 @@ def _local_numbering(keys: list[str]):
             out = pdf.copy()
             out[_TAG] = tag
             out[_LRN] = rn
+            in_first = in_first and first == first_key
+            lead = _leading_run(pdf, keys, first_key) if in_first else 0
+            in_first = in_first and lead == len(pdf)
+            out[_EDGE] = [True] * lead + [False] * (len(pdf) - lead)
             yield out
     return fn
 
@@ -122,10 +131,14 @@ def rank_within_key(df: DataFrame, keys: list[str], order: list, out: str = "rn"
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     sort_cols = [F.col(k) for k in keys] + order_cols
-    base = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
+    # both passes must see the same partitions: materialise them once, not
+    # trusting the optimizer to reuse one exchange
+    checkpoint_dir(spark)
+    base = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols).checkpoint()
 
     local_schema = T.StructType(df.schema.fields + [
-        T.StructField(_TAG, T.StringType()), T.StructField(_LRN, T.LongType())])
+        T.StructField(_TAG, T.StringType()), T.StructField(_LRN, T.LongType()),
+        T.StructField(_EDGE, T.BooleanType())])
     bound_schema = T.StructType(df.schema.fields + [
         T.StructField(_TAG, T.StringType()), T.StructField(_CNT, T.LongType())])
 
@@ -135,4 +148,7 @@ def rank_within_key(df: DataFrame, keys: list[str], order: list, out: str = "rn"
     offsets = bounds.select(_TAG, *keys, F.coalesce(F.sum(_CNT).over(earlier), F.lit(0)).alias(_OFF))
     # offsets has at most two rows per range partition: a proven size bound
     ranked = local.join(F.broadcast(offsets), on=[_TAG, *keys], how="left")
-    return ranked.withColumn(out, F.col(_LRN) + F.coalesce(F.col(_OFF), F.lit(0))).drop(_TAG, _LRN, _OFF)
+    # a run that is neither first nor last of its partition has no boundary row
+    # and starts at 0; a boundary run without its offset is an error
+    edge = F.coalesce(F.col(_OFF), F.when(F.col(_EDGE), F.raise_error(F.lit("rank offset missing")).cast("bigint")).otherwise(F.lit(0)))
+    return ranked.withColumn(out, F.col(_LRN) + edge).drop(_TAG, _LRN, _OFF, _EDGE)

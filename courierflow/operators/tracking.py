@@ -88,6 +88,15 @@ def deliveries_of_courier(delivery: DataFrame, requests: DataFrame) -> DataFrame
         .cast("bigint").alias("n_deliveries"))
 
 
+def courier_delivery_list(delivery: DataFrame, requests: DataFrame) -> DataFrame:
+    """P8 (listing): the deliveries of each request's courier apart from the
+    excluded one.  Requests are one row per courier, so the result has at
+    most one row per delivery."""
+    d = delivery.select("courier_id", F.col("id").alias("delivery_id"), "order_id")
+    return requests.join(d, "courier_id").where(~F.col("delivery_id").eqNullSafe(F.col("exclude_delivery_id"))) \
+        .select("courier_id", "exclude_delivery_id", "delivery_id", "order_id")
+
+
 # -- joins ------------------------------------------------------------------
 
 def restaurant_kitchen(restaurant: DataFrame, kitchen_type: DataFrame, nested: bool = False) -> DataFrame:

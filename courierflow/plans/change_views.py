@@ -12,7 +12,7 @@ from courierflow.operators.tracking import last_location
 from courierflow.plans.catalog import register
 from courierflow.plans.oracle_views import oracle
 from courierflow.plans.rule_views import V10_PATCHES, V10_SQL_BODY, v10_patches
-from courierflow.schema import REASON_COURIER_NOT_FOUND
+from courierflow.schema import (REASON_COURIER_NOT_FOUND, REASON_KITCHEN_NOT_FOUND, REASON_RESTAURANT_NOT_FOUND)
 from courierflow.sources.fixtures import tables
 
 
@@ -120,10 +120,12 @@ def q_replace_order_items(spark, sf_dir):
     FROM d_courier c
     UNION ALL
     SELECT 'restaurant', r.id,
-           CASE WHEN EXISTS (SELECT 1 FROM d_orders o WHERE o.restaurant_id = r.id) THEN 'refused' ELSE 'deleted' END,
-           CASE WHEN EXISTS (SELECT 1 FROM d_orders o WHERE o.restaurant_id = r.id) THEN 0
-                ELSE (SELECT count(*) FROM d_item i WHERE i.restaurant_id = r.id) END
-    FROM d_restaurant r"""))
+           CASE WHEN h.held THEN 'refused' ELSE 'deleted' END,
+           CASE WHEN h.held THEN 0 ELSE (SELECT count(*) FROM d_item i WHERE i.restaurant_id = r.id) END
+    FROM d_restaurant r JOIN (
+        SELECT id, EXISTS (SELECT 1 FROM d_orders o WHERE o.restaurant_id = x.id)
+                   OR EXISTS (SELECT 1 FROM d_item i JOIN d_order_item oi ON oi.item_id = i.id WHERE i.restaurant_id = x.id) AS held
+        FROM d_restaurant x) h ON h.id = r.id"""))
 def q_apply_deletes(spark, sf_dir):
     """Clean-up requests for every item, courier and restaurant: refused
     while referenced by orders / lines / deliveries; a deleted restaurant
@@ -132,8 +134,123 @@ def q_apply_deletes(spark, sf_dir):
     items = mg.apply_deletes(t.item.select("id"), t.item, [(t.order_item, "item_id")])
     couriers = mg.apply_deletes(t.courier.select("id"), t.courier, [(t.delivery, "courier_id")])
     rests = mg.apply_deletes(t.restaurant.select("id"), t.restaurant, [(t.orders, "restaurant_id")],
-                             cascades=[(t.item, "restaurant_id")])
+                             cascades=[(t.item, "restaurant_id", [(t.order_item, "item_id")])])
     parts = [items.select(F.lit("item").alias("entity"), "*"),
              couriers.select(F.lit("courier").alias("entity"), "*"),
              rests.select(F.lit("restaurant").alias("entity"), "*")]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _user_deletes(t):
+    return mg.apply_deletes(t.users.select("id"), t.users, [(t.orders, "user_id")], cascades=[(t.phones, "user_id")])
+
+
+@register("delete_users", "M4u", oracle("""
+    SELECT u.id, CASE WHEN o.user_id IS NOT NULL THEN 'refused' ELSE 'deleted' END AS outcome,
+           CASE WHEN o.user_id IS NOT NULL THEN 0 ELSE (SELECT count(*) FROM d_phones p WHERE p.user_id = u.id) END AS n_cascaded
+    FROM d_users u LEFT JOIN (SELECT DISTINCT user_id FROM d_orders) o ON o.user_id = u.id"""))
+def q_delete_users(spark, sf_dir):
+    """Clean-up of every user: those without orders go with their phones."""
+    return _user_deletes(tables(spark, sf_dir))
+
+
+@register("phones_after_deletes", "M4p", oracle("""
+    SELECT p.user_id, p.phone FROM d_phones p WHERE EXISTS (SELECT 1 FROM d_orders o WHERE o.user_id = p.user_id)"""))
+def q_phones_after_deletes(spark, sf_dir):
+    """The phone table once the deleted users' phones are gone with them."""
+    t = tables(spark, sf_dir)
+    return mg.children_after_deletes(t.phones, "user_id", _user_deletes(t)).select("user_id", "phone")
+
+
+@register("users_after_deletes", "M4t", oracle("""
+    SELECT u.id, u.email FROM d_users u WHERE EXISTS (SELECT 1 FROM d_orders o WHERE o.user_id = u.id)"""))
+def q_users_after_deletes(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return mg.table_after_deletes(t.users, _user_deletes(t)).select("id", "email")
+
+
+@register("delete_orders", "M4o", oracle("""
+    SELECT o.id, CASE WHEN d.order_id IS NOT NULL THEN 'refused' ELSE 'deleted' END AS outcome,
+           CASE WHEN d.order_id IS NOT NULL THEN 0 ELSE coalesce(n.n, 0) END AS n_cascaded
+    FROM d_orders o LEFT JOIN d_delivery d ON d.order_id = o.id
+    LEFT JOIN (SELECT order_id, count(*) AS n FROM d_order_item GROUP BY order_id) n ON n.order_id = o.id"""))
+def q_delete_orders(spark, sf_dir):
+    """Every order asked to be deleted: refused while it has a delivery, else
+    gone with its lines."""
+    t = tables(spark, sf_dir)
+    return mg.apply_deletes(t.orders.select("id"), t.orders, [(t.delivery, "order_id")], cascades=[(t.order_item, "order_id")])
+
+
+def _order_patches(t):
+    """Each order sends its payload lines again as the new list."""
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "item_id", "quantity")))
+    sent = t.order_item_raw.groupBy("order_id").agg(lines.alias("l"))
+    return sent.select("order_id", F.transform("l", lambda x: F.struct(x["item_id"].alias("item_id"), x["quantity"].alias("quantity"))).alias("items"))
+
+
+@register("order_patch_check", "M2o", oracle("""
+    SELECT p.order_id, CASE WHEN o.id IS NULL THEN 'Order not found.' ELSE f.reason END AS reject_reason
+    FROM (SELECT DISTINCT order_id FROM d_order_item_raw) p LEFT JOIN d_orders o ON o.id = p.order_id
+    LEFT JOIN (SELECT order_id, min(struct_pack(n := line_no, r := reason)).r AS reason
+               FROM (SELECT l.order_id, l.line_no,
+                            CASE WHEN l.line_no > min(l.line_no) OVER (PARTITION BY l.order_id, l.item_id) THEN 'Duplicated item in order payload.'
+                                 WHEN i.restaurant_id IS DISTINCT FROM o.restaurant_id THEN 'Item not found for the informed restaurant.' END AS reason
+                     FROM d_order_item_raw l LEFT JOIN d_orders o ON o.id = l.order_id LEFT JOIN d_item i ON i.id = l.item_id)
+               WHERE reason IS NOT NULL GROUP BY order_id) f ON f.order_id = p.order_id"""))
+def q_order_patch_check(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return mg.check_order_patches(_order_patches(t), t.orders, t.item).select("order_id", "reject_reason")
+
+
+@register("restaurant_patches", "M2s", oracle("""
+    SELECT r.id, r.name || ' (moved)' AS name, CASE WHEN r.id % 5 = 0 THEN r.kitchen_type_id ELSE (r.kitchen_type_id + 1) % 30 END AS kitchen_type_id,
+           'accepted' AS outcome
+    FROM d_restaurant r WHERE r.id % 5 = 0 OR (r.kitchen_type_id + 1) % 30 IN (SELECT id FROM d_kitchen_type)
+    UNION ALL
+    SELECT r.id, r.name, r.kitchen_type_id, 'Kitchen type not found.'
+    FROM d_restaurant r WHERE r.id % 5 <> 0 AND (r.kitchen_type_id + 1) % 30 NOT IN (SELECT id FROM d_kitchen_type)"""))
+def q_restaurant_patches(spark, sf_dir):
+    """Every restaurant is renamed and moved to the next kitchen type (each
+    fifth sends no type); a patch to an unknown type is rejected whole."""
+    t = tables(spark, sf_dir)
+    table = t.restaurant.select("id", "name", "kitchen_type_id")
+    patches = table.select("id", F.concat("name", F.lit(" (moved)")).alias("name"),
+                           F.when(F.col("id") % 5 != 0, (F.col("kitchen_type_id") + 1) % 30).cast("int").alias("kitchen_type_id"))
+    new, rejected = mg.apply_patches(table, patches, "id", ["name", "kitchen_type_id"],
+                                     fk_checks=[("kitchen_type_id", t.kitchen_type, REASON_KITCHEN_NOT_FOUND)],
+                                     not_found_reason=REASON_RESTAURANT_NOT_FOUND)
+    return new.join(rejected.select("id", "reject_reason"), "id", "left").select(
+        "id", "name", "kitchen_type_id", F.coalesce("reject_reason", F.lit("accepted")).alias("outcome"))
+
+
+@register("insert_items", "M1i", oracle("""
+    SELECT row_number() OVER (ORDER BY r, s) + (SELECT max(id) FROM d_item) AS id, name, price, r AS restaurant_id
+    FROM (SELECT i.id AS s, i.name, CAST(i.price AS DOUBLE) AS price, i.restaurant_id + 3 AS r FROM d_item i)
+    WHERE r IN (SELECT id FROM d_restaurant)"""))
+def q_insert_items(spark, sf_dir):
+    """Every item is offered to the restaurant three ids on; where that
+    restaurant does not exist the insert is rejected, the others get ids after
+    the current maximum."""
+    t = tables(spark, sf_dir)
+    batch = t.item.select(F.col("id").alias("s"), "name", "price", (F.col("restaurant_id") + 3).alias("restaurant_id"))
+    known = t.restaurant.select(F.col("id").alias("restaurant_id"), F.lit(True).alias("_ok"))
+    checked = batch.join(known, "restaurant_id", "left").withColumn(
+        "reject_reason", F.when(F.col("_ok").isNull(), F.lit(REASON_RESTAURANT_NOT_FOUND))).drop("_ok")
+    fresh = mg.assign_ids(checked.where(F.col("reject_reason").isNull()), ["restaurant_id", "s"], t.item)
+    return fresh.select("id", "name", F.col("price").cast("double").alias("price"), "restaurant_id")
+
+
+@register("insert_users_unique", "M1u", oracle("""
+    SELECT s, email, CASE WHEN EXISTS (SELECT 1 FROM d_users u WHERE u.email = b.email) OR s > min(s) OVER (PARTITION BY email)
+                          THEN 'Duplicate key.' END AS reject_reason
+    FROM (SELECT id AS s, CASE WHEN id % 3 = 0 THEN email WHEN id % 3 = 1 THEN 'new' || CAST(id // 6 AS VARCHAR) || '@example.com'
+                               ELSE 'user' || CAST(id AS VARCHAR) || '@example.com' END AS email FROM d_users) b"""))
+def q_insert_users_unique(spark, sf_dir):
+    """A sign-up batch: a third repeats existing addresses, a third repeats
+    addresses within the batch (first arrival wins), a third is new."""
+    u = tables(spark, sf_dir).users
+    sid = F.col("id")
+    email = (F.when(sid % 3 == 0, F.col("email")).when(sid % 3 == 1, F.concat(F.lit("new"), F.expr("id div 6").cast("string"), F.lit("@example.com")))
+             .otherwise(F.concat(F.lit("user"), sid.cast("string"), F.lit("@example.com"))))
+    batch = u.select(sid.alias("s"), email.alias("email"))
+    return ru.unique_split(batch, u, ["email"], ["s"]).select("s", "email", "reject_reason")

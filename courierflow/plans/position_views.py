@@ -124,7 +124,7 @@ def q_position_history_sink(spark, sf_dir):
     t = tables(spark, sf_dir)
     path = _scratch(spark, "s3-history")
     sp.write_history(po.dedup_latest_in_batch(po.valid_positions(po.parse_messages(t.position_message))), path, 0)
-    return sp.read_history(spark, path)
+    return sp.read_history(spark, path).drop("date")
 
 
 @register("stream_condense", "W1", oracle(CONDENSED_SQL, [MSG_PARSED]))
@@ -132,7 +132,7 @@ def q_stream_condense(spark, sf_dir):
     src = _message_files(spark, sf_dir, "w1")
     hist, rej, ck = _scratch(spark, "w1-history"), _scratch(spark, "w1-rejects"), _scratch(spark, "w1-ck")
     sp.start_condense(read_message_stream(spark, src, max_files_per_trigger=2), hist, rej, ck).awaitTermination()
-    return sp.read_history(spark, hist)
+    return sp.read_history(spark, hist).drop("date")
 
 
 @register("stream_latest_position", "W2", oracle("""
@@ -150,11 +150,12 @@ def q_stream_latest_position(spark, sf_dir):
 @register("stream_redelivery_dedup", "W3", oracle("""
     SELECT DISTINCT courier_id, ts, delivery_id, lat, lon FROM d_msg WHERE reject_reason IS NULL""", [MSG_PARSED]))
 def q_stream_redelivery_dedup(spark, sf_dir):
-    """Every message delivered twice (at-least-once worst case); the copies
-    are dropped by (courier_id, ts) within the retention watermark."""
+    """Every message delivered twice (at-least-once worst case), fed in several
+    micro-batches that span the whole month; copies are dropped by
+    (courier_id, ts), late first deliveries are kept."""
     src = _message_files(spark, sf_dir, "w3", copies=2)
     out, ck = _scratch(spark, "w3-out"), _scratch(spark, "w3-ck")
-    dedup = sp.redelivery_dedup_stream(read_message_stream(spark, src)) \
+    dedup = sp.redelivery_dedup_stream(read_message_stream(spark, src, max_files_per_trigger=2)) \
         .select("courier_id", "ts", "delivery_id", "lat", "lon")
     sp.start_append(dedup, out, ck).awaitTermination()
     return spark.read.parquet(out).select("courier_id", "ts", "delivery_id", "lat", "lon")

@@ -12,7 +12,9 @@ from courierflow.operators import tracking as tr
 from courierflow.operators.ranking import rank_within_key
 from courierflow.plans.catalog import register
 from courierflow.plans.oracle_views import oracle
+from courierflow.schema import ENTITY_DDL
 from courierflow.sources.fixtures import tables
+from courierflow.sources.tables import conform
 
 ENTITIES = ["region", "users", "phones", "kitchen_type", "restaurant", "item", "courier", "orders",
             "order_item", "delivery", "event", "node", "edge"]
@@ -27,6 +29,20 @@ def q_scan_entities(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _register_scan(entity: str) -> None:
+    columns = [part.split()[0] for part in ENTITY_DDL[entity].replace("DECIMAL(10,2)", "DECIMAL").split(", ")]
+    listed = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c == "price" else c for c in columns)
+
+    @register(f"scan_{entity}", f"S1_{entity}", oracle(f"SELECT {listed} FROM d_{entity}"))
+    def scan(spark, sf_dir):
+        df = conform(getattr(tables(spark, sf_dir), entity), entity)
+        return df.withColumn("price", F.col("price").cast("double")) if "price" in columns else df
+
+
+for _entity in ENTITIES:  # every table read out whole under its declared schema
+    _register_scan(_entity)
+
+
 @register("kitchen_list", "P1", oracle("SELECT id, type FROM d_kitchen_type"))
 def q_kitchen_list(spark, sf_dir):
     return tr.kitchen_list(tables(spark, sf_dir).kitchen_type)
@@ -256,7 +272,7 @@ def q_order_items_nested(spark, sf_dir):
     SELECT order_id, item_id, count(*) AS n_lines FROM d_order_item_raw
     GROUP BY order_id, item_id HAVING count(*) > 1"""))
 def q_duplicate_items(spark, sf_dir):
-    return tr.duplicate_items(tables(spark, sf_dir).order_item_raw)
+    return tr.duplicate_items(tables(spark, sf_dir).order_item_lines)
 
 
 @register("last_courier_location", "T3", oracle("SELECT courier_id, ts, delivery_id, lat, lon FROM d_last_pos"))
@@ -290,3 +306,102 @@ def q_position_to_text(spark, sf_dir):
         coordinate_text_round_trip("lat").alias("lat_courier"),
         coordinate_text_round_trip("lon").alias("lon_courier"),
         iso_utc_text("ts").alias("timestamp"))
+
+
+LOOKED_UP = ["region", "users", "kitchen_type", "restaurant", "item", "courier", "orders", "delivery"]
+
+
+@register("lookup_entities", "P4a", oracle(" UNION ALL ".join(
+    f"SELECT '{e}' AS entity, r.id, x.id IS NOT NULL AS found FROM (SELECT id FROM d_{e} UNION SELECT id * 2 + 1 FROM d_{e}) r "
+    f"LEFT JOIN d_{e} x ON x.id = r.id" for e in LOOKED_UP)))
+def q_lookup_entities(spark, sf_dir):
+    """Each entity asked for every id it has and for twice each id plus one."""
+    t = tables(spark, sf_dir)
+    parts = []
+    for e in LOOKED_UP:
+        have = getattr(t, e).select(F.col("id").cast("bigint").alias("id"))
+        asked = have.unionByName(have.select((F.col("id") * 2 + 1).alias("id")))
+        parts.append(tr.lookup_by_ids(have, asked).select(F.lit(e).alias("entity"), "id", "found"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("missing_couriers", "P4m", oracle("""
+    SELECT DISTINCT p.courier_id AS id FROM d_position p
+    WHERE NOT EXISTS (SELECT 1 FROM d_courier c WHERE c.id = p.courier_id)"""))
+def q_missing_couriers(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return tr.missing_ids(t.courier, t.position.select(F.col("courier_id").alias("id")))
+
+
+@register("restaurants_of_kitchen", "P5v", oracle("""
+    SELECT id, name, lat, lon, kitchen_type_id FROM d_restaurant WHERE kitchen_type_id = 7"""))
+def q_restaurants_of_kitchen(spark, sf_dir):
+    return tr.restaurants_by_kitchen(tables(spark, sf_dir).restaurant, 7)
+
+
+@register("orders_by_user_recent", "P6r", oracle("""
+    SELECT o.user_id, o.id, o.created_at,
+           row_number() OVER (PARTITION BY o.user_id ORDER BY o.created_at DESC, o.id DESC) AS recency_rank
+    FROM d_orders o WHERE EXISTS (SELECT 1 FROM d_users u WHERE u.id = o.user_id)"""))
+def q_orders_by_user_recent(spark, sf_dir):
+    """Each existing user's orders, newest first."""
+    t = tables(spark, sf_dir)
+    o = tr.orders_of_existing_users(t.orders, t.users).select("user_id", "id", "created_at")
+    return rank_within_key(o, ["user_id"], [F.col("created_at").desc(), F.col("id").desc()], out="recency_rank")
+
+
+@register("courier_delivery_list", "P8l", oracle("""
+    SELECT r.courier_id, r.exclude_delivery_id, d.id AS delivery_id, d.order_id
+    FROM (SELECT c.id AS courier_id, min(d.id) AS exclude_delivery_id
+          FROM d_courier c LEFT JOIN d_delivery d ON d.courier_id = c.id AND c.id % 2 = 0 GROUP BY c.id) r
+    JOIN d_delivery d ON d.courier_id = r.courier_id AND d.id IS DISTINCT FROM r.exclude_delivery_id"""))
+def q_courier_delivery_list(spark, sf_dir):
+    """One request per courier, every second one without its first delivery:
+    the deliveries themselves."""
+    t = tables(spark, sf_dir)
+    first = t.delivery.where(F.col("courier_id") % 2 == 0).groupBy("courier_id").agg(F.min("id").alias("exclude_delivery_id"))
+    req = t.courier.select(F.col("id").alias("courier_id")).join(first, "courier_id", "left")
+    return tr.courier_delivery_list(t.delivery, req)
+
+
+@register("restaurant_menu_nested", "C2n", oracle("""
+    SELECT r.id, r.name, coalesce(m.items, '[]') AS items, coalesce(m.n, 0) AS n_items
+    FROM d_restaurant r LEFT JOIN (
+        SELECT restaurant_id, '[' || string_agg(CAST(id AS VARCHAR) || ':' || name || ':' || CAST(price AS VARCHAR), ';' ORDER BY id) || ']' AS items,
+               count(*) AS n FROM d_item GROUP BY restaurant_id) m ON m.restaurant_id = r.id"""))
+def q_restaurant_menu_nested(spark, sf_dir):
+    """Each restaurant with its menu as one list, empty where it has none."""
+    t = tables(spark, sf_dir)
+    line = lambda x: F.concat_ws(":", x["id"].cast("string"), x["name"], x["price"].cast("decimal(10,2)").cast("string"))
+    return tr.restaurant_menu_nested(t.restaurant, t.item).select(
+        "id", "name", F.concat(F.lit("["), F.array_join(F.transform("items", line), ";"), F.lit("]")).alias("items"),
+        F.size("items").cast("bigint").alias("n_items"))
+
+
+ORDER_VIEW_ITEMS = ("order_view_items", """
+    SELECT oi.order_id, string_agg(CAST(i.id AS VARCHAR) || ':' || i.name || ':' || CAST(i.price AS VARCHAR) || 'x' || CAST(oi.quantity AS VARCHAR), ';' ORDER BY i.id) AS items
+    FROM d_order_item oi JOIN d_item i ON i.id = oi.item_id GROUP BY oi.order_id""")
+
+
+def _with_items(spark, sf_dir, view):
+    t = tables(spark, sf_dir)
+    line = lambda x: F.concat(F.concat_ws(":", x["item_id"].cast("string"), x["item_name"], x["item_price"].cast("decimal(10,2)").cast("string")),
+                              F.lit("x"), x["quantity"].cast("string"))
+    items = tr.order_items_nested(t.order_item, t.item).select(F.col("order_id").alias("id"), F.array_join(F.transform("items", line), ";").alias("items"))
+    return view.join(items, "id", "left").withColumn("items", F.coalesce("items", F.lit("")))
+
+
+@register("order_view", "C6i", oracle("SELECT v.*, coalesce(x.items, '') AS items FROM tracking v LEFT JOIN order_view_items x ON x.order_id = v.id",
+                                      [("tracking", ORDER_TRACKING_SQL), ORDER_VIEW_ITEMS]))
+def q_order_view(spark, sf_dir):
+    """The order view as it is returned: with every line of the order."""
+    return _with_items(spark, sf_dir, _tracking(spark, sf_dir))
+
+
+@register("order_listing", "C6l", oracle("""
+    SELECT v.* REPLACE (CAST(NULL AS TIMESTAMP) AS location_ts, CAST(NULL AS VARCHAR) AS location_delivery_id,
+                        CAST(NULL AS DOUBLE) AS location_lat, CAST(NULL AS DOUBLE) AS location_lon), coalesce(x.items, '') AS items
+    FROM tracking v LEFT JOIN order_view_items x ON x.order_id = v.id""", [("tracking", ORDER_TRACKING_SQL), ORDER_VIEW_ITEMS]))
+def q_order_listing(spark, sf_dir):
+    """The listing form: lines, but no courier location."""
+    return _with_items(spark, sf_dir, _tracking(spark, sf_dir, with_location=False))

@@ -34,7 +34,6 @@ REASON_ORDER_NOT_FOUND = "Order not found."
 REASON_COURIER_NOT_FOUND = "Courier not found."
 REASON_DELIVERY_NOT_FOUND = "Delivery not found."
 REASON_KITCHEN_NOT_FOUND = "Kitchen type not found."
-REASON_ITEM_NOT_FOUND = "Item not found."
 REASON_ORDER_HAS_DELIVERY = "Order already has an associated delivery."
 REASON_COURIER_BUSY = "Courier is currently busy with another delivery."
 REASON_NO_ITEMS = "Order must contain at least one item."
@@ -43,23 +42,27 @@ REASON_BAD_QUANTITY = "Item quantity must be at least 1."
 # ---------------------------------------------------------------------------
 # Logical table schemas
 # ---------------------------------------------------------------------------
-USERS = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("email", T.StringType(), False),
-    T.StructField("name", T.StringType(), False),
-    T.StructField("house_lat", T.DoubleType(), False),
-    T.StructField("house_lon", T.DoubleType(), False),
-    T.StructField("region_id", T.IntegerType(), True),
-])
+ENTITY_DDL = {
+    "region": "id INT NOT NULL, name STRING NOT NULL",
+    "users": "id BIGINT NOT NULL, email STRING NOT NULL, name STRING NOT NULL, house_lat DOUBLE NOT NULL, house_lon DOUBLE NOT NULL, region_id INT",
+    "phones": "user_id BIGINT NOT NULL, phone STRING NOT NULL",
+    "kitchen_type": "id INT NOT NULL, type STRING NOT NULL",
+    "restaurant": "id BIGINT NOT NULL, name STRING NOT NULL, lat DOUBLE, lon DOUBLE, kitchen_type_id INT NOT NULL, region_id INT",
+    "item": "id BIGINT NOT NULL, name STRING NOT NULL, price DECIMAL(10,2) NOT NULL, restaurant_id BIGINT NOT NULL",
+    "courier": "id BIGINT NOT NULL, name STRING NOT NULL, vehicle STRING NOT NULL, lat DOUBLE, lon DOUBLE, region_id INT",
+    "orders": "id BIGINT NOT NULL, restaurant_id BIGINT NOT NULL, user_id BIGINT NOT NULL, created_at TIMESTAMP_NTZ NOT NULL",
+    "order_item": "order_id BIGINT NOT NULL, item_id BIGINT NOT NULL, quantity INT NOT NULL",
+    "delivery": "id BIGINT NOT NULL, order_id BIGINT NOT NULL, courier_id BIGINT NOT NULL",
+    "event": "id BIGINT NOT NULL, status STRING NOT NULL, updated_at TIMESTAMP_NTZ NOT NULL, delivery_id BIGINT NOT NULL",
+    "node": "id BIGINT NOT NULL, lat DOUBLE NOT NULL, lon DOUBLE NOT NULL",
+    "edge": "u BIGINT NOT NULL, v BIGINT NOT NULL, length DOUBLE NOT NULL",
+}
+
+
+def entity_schema(name: str) -> T.StructType:
+    """Declared schema of a logical table (needs a running session)."""
+    return T.StructType.fromDDL(ENTITY_DDL[name])
 
-COURIER = T.StructType([
-    T.StructField("id", T.LongType(), False),
-    T.StructField("name", T.StringType(), False),
-    T.StructField("vehicle", T.StringType(), False),
-    T.StructField("lat", T.DoubleType(), False),
-    T.StructField("lon", T.DoubleType(), False),
-    T.StructField("region_id", T.IntegerType(), True),
-])
 
 EVENT = T.StructType([
     T.StructField("id", T.LongType(), False),
@@ -68,14 +71,6 @@ EVENT = T.StructType([
     T.StructField("delivery_id", T.LongType(), False),
 ])
 
-# Canonical GPS position (both message shapes are normalised to this).
-POSITION = T.StructType([
-    T.StructField("courier_id", T.LongType(), True),
-    T.StructField("ts", T.TimestampNTZType(), True),
-    T.StructField("delivery_id", T.StringType(), True),
-    T.StructField("lat", T.DoubleType(), True),
-    T.StructField("lon", T.DoubleType(), True),
-])
 
 # Raw queue message as it lands in files or a Kafka value: one JSON body.
 RAW_MESSAGE = T.StructType([

@@ -41,11 +41,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def _is_local(master: str) -> bool:
+    """One JVM on this machine (``local``, ``local[n]``); ``local-cluster`` is not."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder of the cluster.
 
     Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local runs and tests) a fresh scratch folder is created and registered.
+    and the master is local (tests), a fresh scratch folder is created and
+    registered; on any other master every executor would write its own disk,
+    so an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not _is_local(sc.master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {sc.master}")
         configured = tempfile.mkdtemp(prefix="courierflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -154,6 +154,13 @@ class Tables:
             F.col("o_orderdate").alias("created_at"),
         )
 
+    @cached_property
+    def order_item_lines(self) -> DataFrame:
+        """Order lines as given, not numbered (for uses without line order)."""
+        return self.raw("lineitem").select(
+            F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("item_id"),
+            F.col("l_quantity").cast("int").alias("quantity"))
+
     @cached_property
     def order_item_raw(self) -> DataFrame:
         """Order lines in payload order (``line_no`` 1..n within an order),

@@ -1,7 +1,7 @@
 """GPS message source (S2): message files in, streaming DataFrame out.
 
 In production the same DataFrame comes from Kafka (``value`` cast to string
-as ``body``, ``offset`` as ``message_id``); the file source stands in for it
+as ``body``, partition and offset as ``message_id``); the file source stands in for it
 here.  Files hold whole receive batches, so a micro-batch never splits one.
 """
 
@@ -31,9 +31,21 @@ def read_message_stream(spark: SparkSession, path: str, max_files_per_trigger: i
     return reader.parquet(path)
 
 
-def read_kafka_messages(spark: SparkSession, bootstrap: str, topic: str) -> DataFrame:
+PARTITION_BITS = 48
+
+
+def read_kafka_messages(spark: SparkSession, bootstrap: str, topic: str,
+                        batch_size: int = RECEIVE_BATCH_SIZE) -> DataFrame:
     """Same shape from a Kafka topic (needs the Kafka connector on the
     classpath; not used in tests)."""
-    return (spark.readStream.format("kafka")
-            .option("kafka.bootstrap.servers", bootstrap).option("subscribe", topic).load()
-            .select(F.col("offset").alias("message_id"), F.col("value").cast("string").alias("body")))
+    raw = (spark.readStream.format("kafka")
+           .option("kafka.bootstrap.servers", bootstrap).option("subscribe", topic).load())
+    return kafka_rows(raw, batch_size)
+
+
+def kafka_rows(raw: DataFrame, batch_size: int = RECEIVE_BATCH_SIZE) -> DataFrame:
+    """(partition, offset, value) -> message_id, body.  Each partition's ids
+    begin at a multiple of the batch size, so batches stay within it."""
+    base = F.expr(f"((1L << {PARTITION_BITS}) div {int(batch_size)}) * {int(batch_size)}L")
+    return raw.select((F.col("partition").cast("bigint") * base + F.col("offset")).alias("message_id"),
+                      F.col("value").cast("string").alias("body"))

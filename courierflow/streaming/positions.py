@@ -2,14 +2,16 @@
 position, W3 redelivery dedup, W5 rejects).
 
 Delivery guarantees: the source offsets and the sink writes are tied by the
-checkpoint.  Each ``foreachBatch`` write replaces exactly the partition of
-its own epoch (dynamic partition overwrite), so a micro-batch that is
+checkpoint.  Each ``foreachBatch`` write replaces exactly the partitions of
+its own job and epoch (dynamic partition overwrite), so a micro-batch that is
 re-run after a failure rewrites the same rows instead of adding copies.  The
 original "retry after 2 s" loop becomes the query restart policy.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,30 +21,63 @@ from courierflow.operators.positions import (dedup_latest_in_batch, parse_messag
 from courierflow.schema import QUEUE_RETENTION_SECONDS
 
 
-def _write_epoch(df: DataFrame, path: str, epoch_id: int, cluster_by: list[str] | None = None) -> None:
-    out = df.withColumn("epoch", F.lit(int(epoch_id)))
+def _job_id(df: DataFrame) -> str:
+    """Identity of the running streaming query, kept in its checkpoint; a job
+    with a new or lost checkpoint is another job and replaces nothing.
+    Outside a stream (batch use) every write is a job of its own."""
+    running = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return running or f"batch-{uuid.uuid4().hex}"
+
+
+def _write_epoch(df: DataFrame, path: str, epoch_id: int, cluster_by: list[str] | None = None,
+                 by_date: str | None = None) -> None:
+    out = df.withColumn("job", F.lit(_job_id(df))).withColumn("epoch", F.lit(int(epoch_id)))
+    parts = ["job", "epoch"]
+    if by_date:
+        out = out.withColumn("date", F.to_date(by_date))
+        parts = ["date", *parts]
     if cluster_by:
         # rows of one key sit together in each file: parquet row-group
         # min/max statistics then skip most of a file for a per-key lookup
-        out = out.sortWithinPartitions(*cluster_by)
+        out = out.sortWithinPartitions(*(["date"] if by_date else []), *cluster_by)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("epoch").parquet(path))
+     .partitionBy(*parts).parquet(path))
 
 
 def write_history(condensed: DataFrame, path: str, epoch_id: int) -> None:
-    """S3: keyed put of condensed positions for one epoch (replay-safe),
-    clustered by the store's key (courier_id, ts)."""
-    _write_epoch(condensed, path, epoch_id, cluster_by=["courier_id", "ts"])
+    """S3: keyed put of condensed positions for one epoch (replay-safe), by
+    date, clustered by the store's key (courier_id, ts)."""
+    _write_epoch(condensed, path, epoch_id, cluster_by=["courier_id", "ts"], by_date="ts")
+
+
+_PUT_ORDER = ["put_epoch", "batch_id", "job"]
+
+
+def _latest_puts(h: DataFrame) -> DataFrame:
+    """One row per (courier_id, ts): a later put under the same key wins."""
+    last = F.max_by(F.struct("delivery_id", "lat", "lon", *_PUT_ORDER), F.struct(*_PUT_ORDER))
+    return h.groupBy("date", "courier_id", "ts").agg(last.alias("r")).select("courier_id", "ts", "r.*", "date")
+
+
+def _raw_history(spark: SparkSession, path: str) -> DataFrame:
+    h = spark.read.option("mergeSchema", "true").parquet(path)
+    put = F.coalesce(F.col("put_epoch"), F.col("epoch").cast("bigint")) if "put_epoch" in h.columns else F.col("epoch").cast("bigint")
+    return h.withColumn("put_epoch", put).withColumn("job", F.col("job").cast("string"))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Position history as the key-value store would hold it: one row per
-    (courier_id, ts); a later put under the same key wins."""
-    h = spark.read.parquet(path)
-    last = F.max_by(F.struct("delivery_id", "lat", "lon"), F.struct("epoch", "batch_id"))
-    return h.groupBy("courier_id", "ts").agg(last.alias("r")).select(
-        "courier_id", "ts", F.col("r.delivery_id").alias("delivery_id"),
-        F.col("r.lat").alias("lat"), F.col("r.lon").alias("lon"))
+    (courier_id, ts).  A filter on ``date`` reads only its folders."""
+    return _latest_puts(_raw_history(spark, path)).select("courier_id", "ts", "delivery_id", "lat", "lon", "date")
+
+
+def compact_history(spark: SparkSession, path: str, into: str) -> None:
+    """Rewrite the history with one sorted set of files per date into a new
+    folder (readers switch to it; later epochs may be appended to it)."""
+    rows = _latest_puts(_raw_history(spark, path)).withColumnRenamed("job", "put_job")
+    (rows.withColumn("job", F.lit("compacted")).withColumn("epoch", F.lit(-1))
+     .repartitionByRange("date", "courier_id", "ts").sortWithinPartitions("date", "courier_id", "ts")
+     .write.partitionBy("date", "job", "epoch").parquet(into))
 
 
 def condense_batch(history_path: str, reject_path: str):
@@ -80,8 +115,9 @@ def latest_position_stream(stream: DataFrame) -> DataFrame:
 
 def start_latest_position(stream: DataFrame, log_path: str, checkpoint_path: str,
                           available_now: bool = True) -> StreamingQuery:
-    """Update-mode output: each epoch appends the couriers whose newest
-    position changed; :func:`read_current_positions` reduces the log."""
+    """Update-mode output: each epoch writes the couriers whose newest
+    position changed; :func:`read_current_positions` reduces the log and
+    :func:`compact_current_positions` bounds it to a row per courier."""
     w = (latest_position_stream(stream).writeStream.outputMode("update")
          .foreachBatch(lambda df, epoch: _write_epoch(df, log_path, epoch))
          .option("checkpointLocation", checkpoint_path))
@@ -89,6 +125,14 @@ def start_latest_position(stream: DataFrame, log_path: str, checkpoint_path: str
     return w.start()
 
 
+def compact_current_positions(spark: SparkSession, log_path: str, into: str) -> None:
+    """A new log folder with one row per courier; later epochs append to it."""
+    newest = F.max_by(F.struct("ts", "delivery_id", "lat", "lon", "message_id"), F.struct("ts", "message_id"))
+    rows = spark.read.parquet(log_path).groupBy("courier_id").agg(newest.alias("p")).select("courier_id", "p.*")
+    (rows.withColumn("job", F.lit("compacted")).withColumn("epoch", F.lit(-1))
+     .write.partitionBy("job", "epoch").parquet(into))
+
+
 def read_current_positions(spark: SparkSession, log_path: str) -> DataFrame:
     log = spark.read.parquet(log_path)
     cur = F.max_by(F.struct("ts", "delivery_id", "lat", "lon"), F.struct("ts", "message_id"))
@@ -98,11 +142,13 @@ def read_current_positions(spark: SparkSession, log_path: str) -> DataFrame:
 
 
 def redelivery_dedup_stream(stream: DataFrame, delay_seconds: int = QUEUE_RETENTION_SECONDS) -> DataFrame:
-    """Drop redelivered copies (same courier and timestamp).  State is
-    bounded by the queue retention: a copy cannot arrive later than that."""
-    pos = valid_positions(parse_messages(stream)).withColumn("event_time", F.col("ts").cast("timestamp"))
-    return (pos.withWatermark("event_time", f"{int(delay_seconds)} seconds")
-            .dropDuplicatesWithinWatermark(["courier_id", "ts"]))
+    """Drop redelivered copies (same courier and timestamp).  A copy
+    arrives at most the queue retention after the first delivery, so the
+    state expires by arrival time; the message's own time never drops a row,
+    however late a first delivery is."""
+    pos = valid_positions(parse_messages(stream)).withColumn("arrived_at", F.current_timestamp())
+    return (pos.withWatermark("arrived_at", f"{int(delay_seconds)} seconds")
+            .dropDuplicatesWithinWatermark(["courier_id", "ts"]).drop("arrived_at"))
 
 
 def start_append(df: DataFrame, path: str, checkpoint_path: str, available_now: bool = True) -> StreamingQuery:

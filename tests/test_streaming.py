@@ -50,7 +50,7 @@ def test_redelivery_dropped(spark):
     t = 1704110400000
     _land(spark, src, "a", [_msg(0, 7, t, 1.0), _msg(1, 7, t, 1.0), _msg(2, 7, t + 1, 2.0)])
     out, ck = os.path.join(root, "out"), os.path.join(root, "ck")
-    sp.start_append(sp.redelivery_dedup_stream(read_message_stream(spark, src + "/*")).drop("event_time"),
+    sp.start_append(sp.redelivery_dedup_stream(read_message_stream(spark, src + "/*")),
                     out, ck).awaitTermination()
     assert spark.read.parquet(out).count() == 2
 
