@@ -10,6 +10,7 @@ original "retry after 2 s" loop becomes the query restart policy.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,11 +47,13 @@ def _write_epoch(df: DataFrame, path: str, epoch_id: int, cluster_by: list[str]
 
 def write_history(condensed: DataFrame, path: str, epoch_id: int) -> None:
     """S3: keyed put of condensed positions for one epoch (replay-safe), by
-    date, clustered by the store's key (courier_id, ts)."""
-    _write_epoch(condensed, path, epoch_id, cluster_by=["courier_id", "ts"], by_date="ts")
+    date, clustered by the store's key (courier_id, ts).  ``put_at`` (clock
+    micros of the write) orders puts of different jobs under one key."""
+    put = condensed.select("batch_id", "courier_id", "ts", "delivery_id", "lat", "lon", F.lit(time.time_ns() // 1000).alias("put_at"))
+    _write_epoch(put, path, epoch_id, cluster_by=["courier_id", "ts"], by_date="ts")
 
 
-_PUT_ORDER = ["put_epoch", "batch_id", "job"]
+_PUT_ORDER = ["put_at", "batch_id"]
 
 
 def _latest_puts(h: DataFrame) -> DataFrame:
@@ -59,24 +62,17 @@ def _latest_puts(h: DataFrame) -> DataFrame:
     return h.groupBy("date", "courier_id", "ts").agg(last.alias("r")).select("courier_id", "ts", "r.*", "date")
 
 
-def _raw_history(spark: SparkSession, path: str) -> DataFrame:
-    h = spark.read.option("mergeSchema", "true").parquet(path)
-    put = F.coalesce(F.col("put_epoch"), F.col("epoch").cast("bigint")) if "put_epoch" in h.columns else F.col("epoch").cast("bigint")
-    return h.withColumn("put_epoch", put).withColumn("job", F.col("job").cast("string"))
-
-
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Position history as the key-value store would hold it: one row per
     (courier_id, ts).  A filter on ``date`` reads only its folders."""
-    return _latest_puts(_raw_history(spark, path)).select("courier_id", "ts", "delivery_id", "lat", "lon", "date")
+    return _latest_puts(spark.read.parquet(path)).select("courier_id", "ts", "delivery_id", "lat", "lon", "date")
 
 
 def compact_history(spark: SparkSession, path: str, into: str) -> None:
     """Rewrite the history with one sorted set of files per date into a new
     folder (readers switch to it; later epochs may be appended to it)."""
-    rows = _latest_puts(_raw_history(spark, path)).withColumnRenamed("job", "put_job")
-    (rows.withColumn("job", F.lit("compacted")).withColumn("epoch", F.lit(-1))
-     .repartitionByRange("date", "courier_id", "ts").sortWithinPartitions("date", "courier_id", "ts")
+    rows = _latest_puts(spark.read.parquet(path)).withColumn("job", F.lit("compacted")).withColumn("epoch", F.lit(-1))
+    (rows.repartitionByRange("date", "courier_id", "ts").sortWithinPartitions("date", "courier_id", "ts")
      .write.partitionBy("date", "job", "epoch").parquet(into))
 
 
