@@ -172,3 +172,30 @@ def test_declared_schema_is_applied_on_read(spark):
         conform(raw.withColumn("name", F.lit(None).cast("string")), "item").collect()
     options = jdbc_options("jdbc:x", "orders", "id", 0, 1000, 16)
     assert options["numPartitions"] == "16" and options["partitionColumn"] == "id"
+
+
+def test_status_fold_splits_a_hot_delivery(spark):
+    import random
+
+    from courierflow.operators.status_machine import status_transitions
+    from courierflow.schema import EVENT, ORDER_STATUSES
+    from courierflow.streaming.status import fold_requests
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(4000):
+        d = 7 if i % 3 else rng.randrange(20)
+        # rare successes, so that the hot delivery's chain spans many partitions
+        s = ORDER_STATUSES[0] if i < 2 else (rng.choice(ORDER_STATUSES) if rng.random() < 0.02 else "UNKNOWN")
+        rows.append((i, s, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(3000)), d))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        got = {r.id: (r.accepted, r.state_before, r.reject_reason) for r in status_transitions(spark.createDataFrame(rows, EVENT), num_partitions=16).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for d in {r[3] for r in rows}:
+        mine = sorted((r for r in rows if r[3] == d), key=lambda r: (r[2], r[0]))
+        want.update(zip([r[0] for r in mine], fold_requests(-1, [r[1] for r in mine])[1]))
+    assert got == want
+    assert len([1 for r in rows if r[3] == 7 and got[r[0]][0]]) > 2
