@@ -1,7 +1,7 @@
 """Line dedup: repeated line runs by distributed prefix doubling.
 
-Every text is a sequence of line ids (128-bit hash of the stripped line; blank
-lines are not part of it).  Level 0 of the suffix array names each suffix by
+Every text is a sequence of line ids (two 64-bit hashes of the stripped line;
+blank lines are not part of it).  Level 0 of the suffix array names each suffix by
 its first line, level k + 1 by the pair of its level-k name and the level-k name
 2**k lines further on.  A name is the position of the earliest suffix with the
 same prefix, so equal names are equal prefixes and the suffixes with one name
@@ -46,6 +46,8 @@ from courierflow.llm.common import text_of, written
 MIN_WORDS = 50
 _LAST = (1 << 63) - 1
 _POS = ["d", "k", "n"]
+#: White space inside and around a line (ASCII, without the line feed).
+_WHITE = " \t\r\x0b\x0c"
 
 
 def _windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,28 +62,29 @@ def _windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _lines(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _spread(least: int):
+    """One row per line from a row per text (word counts and hashes of its lines)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["d", "k", "n", "h1", "h2", "windows"]
         for batch in batches:
             held, size = [], 0
 
             def ready() -> pa.RecordBatch:
-                d, k, n, h, offs, w = (np.concatenate(x) for x in zip(*held))
+                d, k, n, h1, h2, offs, w = (np.concatenate(x) for x in zip(*held))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(offs)]), pa.int32()), pa.array(w, pa.int32()))
-                return pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(n, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), lists], names)
+                return pa.RecordBatch.from_arrays([pa.array(d), pa.array(k), pa.array(n, pa.int32()), pa.array(h1), pa.array(h2), lists], names)
 
-            docs, tags, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            docs, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words, first, second = (batch.column(i) for i in (2, 3, 4))
             for r in range(batch.num_rows):
-                lines = [s for s in map(bytes.strip, texts[r].as_py().split(b"\n")) if s]
-                if not lines:
+                count = words[r].values.to_numpy()
+                m = len(count)
+                if not m:
                     continue
-                m = len(lines)
-                at, length = _windows(np.array([len(s.split()) for s in lines]), least)
-                hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), "<i8").reshape(m, 2)
-                held.append((np.full(m, docs[r]), np.full(m, tags[r]), np.arange(m), hashes, np.bincount(at, minlength=m), length))
+                at, length = _windows(count.astype(np.int64), least)
+                held.append((np.full(m, docs[r]), np.full(m, tags[r]), np.arange(m), first[r].values.to_numpy(), second[r].values.to_numpy(),
+                             np.bincount(at, minlength=m), length))
                 size += m
                 if size >= 1 << 16:
                     yield ready()
@@ -92,6 +95,17 @@ def _lines(least: int):
     return run
 
 
+def _line_rows(docs: DataFrame, least: int) -> DataFrame:
+    """(d, k, n, h1, h2, windows) per line that is not blank; only counts and hashes leave the JVM."""
+    d, k = _keys()
+    stripped = F.transform(F.split(text_of(), "\n", -1), lambda x: F.btrim(x, F.lit(_WHITE)))
+    lines = docs.select(d, k, F.filter(stripped, lambda x: x != "").alias("l"))
+    counted = lines.select(
+        "d", "k", F.transform("l", lambda x: F.size(F.split(x, f"[{_WHITE}]+", -1))).alias("w"),
+        F.transform("l", lambda x: F.xxhash64(x)).alias("h1"), F.transform("l", lambda x: F.xxhash64(F.lit(1), x)).alias("h2"))
+    return counted.where(F.size("w") > 0).mapInArrow(_spread(least), "d long, k long, n int, h1 long, h2 long, windows array<int>")
+
+
 def _first_of(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key occurs more than once, with the earliest position under it (od, ok, on)."""
     pos = F.struct(*_POS)
@@ -109,8 +123,7 @@ def _named(names: DataFrame, prefix: str) -> DataFrame:
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Later copies: (d, k, n, len), lines n .. n + len - 1 of the document with key (d, k)."""
     spark = docs.sparkSession
-    keyed = docs.select(*_keys(), text_of().cast("binary").alias("text"))
-    lines = written(keyed.mapInArrow(_lines(min_words), "d long, k long, n int, h1 long, h2 long, windows array<int>"), "lines")
+    lines = written(_line_rows(docs, min_words), "lines")
     names = written(_first_of(lines.drop("windows"), ["h1", "h2"]).select(*_POS, "od", "ok", "on"), "line-names")
     asked = lines.select(*_POS, F.explode("windows").alias("len"))
     later, level = [], 0
@@ -154,7 +167,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(batch.num_rows):
             text = texts[r].as_py()
             raw = text.split("\n")
-            full = [i for i, s in enumerate(raw) if s.encode().strip()]
+            full = [i for i, s in enumerate(raw) if s.strip(_WHITE)]
             at = starts[r].as_py()
             if at:
                 gone = np.zeros(len(full) + 1, np.int64)
