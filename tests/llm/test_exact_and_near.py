@@ -116,7 +116,7 @@ def test_forest_depth_reaches_recall():
 
 def test_components_of_paths_and_stars(spark):
     rng = np.random.default_rng(1)
-    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 202), (202, 200), (300, 300), (400, 401)]
     rng.shuffle(edges)
     got = {r.node: r.root for r in connected(spark.createDataFrame([(int(a), int(b)) for a, b in edges], "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 200: 200, 201: 200, 202: 200}
+    assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 200: 200, 201: 200, 202: 200, 400: 400, 401: 400}
