@@ -107,10 +107,14 @@ def _line_rows(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _first_of(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key occurs more than once, with the earliest position under it (od, ok, on)."""
+    """Rows whose key occurs more than once, with the earliest position under it (od, ok, on).
+
+    ``rows`` is a written table.  The groups are written too, so that both sides of
+    the join have exchanges of their own and a hot key's rows can be split."""
     pos = F.struct(*_POS)
     groups = rows.groupBy(*key).agg(F.min(pos).alias("o"), F.count(F.lit(1)).alias("c")).where("c > 1")
     groups = groups.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("o.d").alias("od"), F.col("o.k").alias("ok"), F.col("o.n").alias("on"))
+    groups = written(groups, "line-groups")
     same = [F.col(c) == F.col(f"_{c}") for c in key]
     return rows.join(groups, same).drop(*[f"_{c}" for c in key])
 
@@ -137,13 +141,14 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         else:
             there = _named(names, "b")
             both = head.join(there, (F.col("d") == F.col("bd")) & (F.col("k") == F.col("bk")) & (F.col("n") + F.col("len") - step == F.col("bn")))
-            found = (_first_of(both.select(*_POS, "len", "aod", "aok", "aon", "bod", "bok", "bon"), ["len", "aod", "aok", "aon", "bod", "bok", "bon"])
+            both = written(both.select(*_POS, "len", "aod", "aok", "aon", "bod", "bok", "bon"), "line-windows")
+            found = (_first_of(both, ["len", "aod", "aok", "aon", "bod", "bok", "bon"])
                      .where("(d, k, n) != (od, ok, on)").select(*_POS, "len"))
         later.append(written(found, "line-copies"))
         if (2 << level) <= min_words:
             there = _named(names, "b")
             pairs = names.join(there, (F.col("d") == F.col("bd")) & (F.col("k") == F.col("bk")) & (F.col("n") + step == F.col("bn")))
-            pairs = pairs.select(*_POS, F.col("od").alias("aod"), F.col("ok").alias("aok"), F.col("on").alias("aon"), "bod", "bok", "bon")
+            pairs = written(pairs.select(*_POS, F.col("od").alias("aod"), F.col("ok").alias("aok"), F.col("on").alias("aon"), "bod", "bok", "bon"), "line-pairs")
             names = written(_first_of(pairs, ["aod", "aok", "aon", "bod", "bok", "bon"]).select(*_POS, "od", "ok", "on"), "line-names")
         level += 1
     if not later:
