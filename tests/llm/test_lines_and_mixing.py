@@ -47,6 +47,19 @@ def test_line_dedup_keeps_columns_and_takes_awkward_rows(spark):
     assert line_dedup(empty(spark)).collect() == []
 
 
+def test_line_dedup_takes_repeated_rows_as_copies(spark):
+    """Equal long rows, two and many, with and without an id: one keeps its lines, nothing grows with their number."""
+    text = "\n".join(f"line {i} of a text that is repeated as a whole" for i in range(40))
+    rows = [(1, text)] * 2 + [(2, text)] * 300 + [(None, text)] * 300 + [(None, "other " + text)] * 2 + [(3, "short row")] * 3
+    want = brute_lines(rows, 50)
+    got = line_dedup(table(spark, rows, ("d", "k", "n"))).collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in got) == sorted((rows[r][0] or 0, *want[r]) for r in want)
+    assert sorted(r.n_removed for r in got if r.doc_id == 1) == [0, 40]
+    assert all(r.n_removed == 40 for r in got if r.doc_id == 2)
+    alone = line_dedup(table(spark, [(None, text)] * 200)).collect()
+    assert sorted(r.n_removed for r in alone) == [0] + [40] * 199
+
+
 def poisson(seed, ident, rate):
     m = max(1, math.ceil(rate / DRAW_MEAN))
     mean, total = rate / m, 0
