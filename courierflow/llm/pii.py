@@ -6,13 +6,15 @@ match but never retry inside a run of characters that has already failed, so
 time stays linear in the text.
 
 Bootstrapping: every identifier-like token (with a digit or an at sign) is an
-instance, the two words before it are a pattern, and the pairs are the edges of
-a bipartite graph.  Valid base entities are the seeds, with confidence 1.  In
+instance; the one and the two words before it and after it are its patterns, and
+the pairs are the edges of a bipartite graph.  The start and the end of a line
+count as a word, words with a digit or an at sign make no pattern.  Valid base entities are the seeds, with confidence 1.  In
 each round a pattern's score per kind is the share of confidence among its
 occurrences, and an instance's confidence is the noisy-or over its patterns.
 Patterns with enough distinct supporting instances and a high score then
 label their other instances: unseen identifiers that only their context gives
-away.  Those spans are added under the pattern's kind unless they overlap a base span.
+away.  Those spans are added under the kind of their best pattern unless they
+overlap a base span.
 
 DataFrame and SQL functions only.  The text is scanned once into a narrow table
 (spans, edges) in the shared folder; rounds work on aggregated edges, keys are
@@ -45,7 +47,12 @@ MARKS = {"email": "@", "ip": ".", "phone": "+"}
 
 #: Identifier-like stretches: a phone or card as a whole, else a token with a digit or an at sign.
 INSTANCE = r"\+[0-9][ ().0-9-]{6,24}[0-9]|(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){15,18}(?![0-9A-Za-z])|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-CONTEXT_CHARS = 48
+#: Characters tried first for the words beside an instance; the whole stretch where they do not hold them.
+NEAR_CHARS = 96
+#: A longer word stands in a pattern by its MD5.
+WORD_CHARS = 48
+#: The end of a line as a word, and what a pattern of the right side begins with.
+LINE, RIGHT = "\u0001", "\u0002"
 
 ROUNDS = 3
 MIN_SCORE = 0.8
@@ -107,22 +114,55 @@ def _kind_of(m: Column) -> Column:
     return out
 
 
-def _edges(text: Column) -> Column:
-    """(s, e, instance, pattern) of each identifier-like token with two words before it."""
-    edge = "array<struct<s:int,e:int,instance:string,pattern:string>>"
-    before = lambda x: F.lower(F.regexp_extract(F.right(x.p, F.lit(CONTEXT_CHARS)), r"(\S+\s+\S+)\s*\z", 1))
+def _beside(text: Column, last: bool) -> Column:
+    """Words and line marks of ``text``, at least the last (or first) two if there are as many."""
+    split = lambda t: F.filter(F.split(F.regexp_replace(F.lower(t), "[\r\n]++", f" {LINE} "), r"\s+", -1), lambda w: w != "")
+    near = F.right(text, F.lit(NEAR_CHARS)) if last else F.left(text, F.lit(NEAR_CHARS))
+    return F.transform(F.array(split(near)), lambda w: F.when(F.size(w) > 2, w).otherwise(split(text)))[0]  # of three words two are whole
+
+
+def _shape(word: Column) -> Column:
+    """The word as it stands in a pattern; null for none and for one with a digit or an at sign."""
+    return F.when(~word.rlike("[0-9@]"), F.when(F.length(word) > WORD_CHARS, F.concat(F.lit("~"), F.md5(word.cast("binary")))).otherwise(word))
+
+
+def _contexts(text: Column) -> Column:
+    """(s, e, instance, patterns) of each identifier-like token; the patterns (null for none)
+    are two words before it, one before, one after, two after.
+
+    Between two instances lies no other digit or at sign that begins a token, so a word of
+    an earlier or later instance makes no pattern: a zero stands for it."""
+    form = "array<struct<s:int,e:int,instance:string,patterns:array<string>>>"
     bare = lambda m: F.regexp_replace(m, r"^[^0-9A-Za-z+]+|[^0-9A-Za-z]+$", "")
-    left = lambda x: F.length(x.m) - F.length(F.regexp_replace(x.m, r"^[^0-9A-Za-z+]+", ""))
-    found = F.transform(_located(text, INSTANCE), lambda x: F.struct(
-        (x.s + left(x)).alias("s"), (x.s + left(x) + F.length(bare(x.m))).alias("e"), F.lower(bare(x.m)).alias("instance"), F.regexp_replace(before(x), r"\s+", " ").alias("pattern")))
-    kept = F.filter(found, lambda x: (F.length(x.instance) >= 5) & (F.length(x.pattern) > 0) & ~x.pattern.rlike("[0-9@]"))
-    return F.when(text.rlike("[0-9@]"), kept.cast(edge)).otherwise(F.array().cast(edge))
+    skip = lambda m: F.length(m) - F.length(F.regexp_replace(m, r"^[^0-9A-Za-z+]+", ""))
+    stretches = F.split(text, INSTANCE, -1)
+    ends = F.transform(stretches, lambda p, i: F.struct(
+        _beside(F.concat(F.when(i == 0, F.lit("\n")).otherwise(F.lit("0")), p), True).alias("left"),
+        _beside(F.concat(p, F.when(i == F.size(stretches) - 1, F.lit("\n")).otherwise(F.lit("0"))), False).alias("right")))
+    words = F.transform(ends, lambda x: F.struct(
+        _shape(F.try_element_at(x.left, F.lit(-2))).alias("l2"), _shape(F.try_element_at(x.left, F.lit(-1))).alias("l1"),
+        _shape(F.try_element_at(x.right, F.lit(1))).alias("r1"), _shape(F.try_element_at(x.right, F.lit(2))).alias("r2")))
+    named = F.transform(words, lambda x: F.struct(
+        F.array(F.concat(x.l2, F.lit(" "), x.l1), x.l1).alias("left"),
+        F.array(F.concat(F.lit(f"{RIGHT} "), x.r1), F.concat(F.lit(f"{RIGHT} "), x.r1, F.lit(" "), x.r2)).alias("right")))
+    patterns = F.zip_with(named, F.slice(named, F.lit(2), F.greatest(F.size(named) - 1, F.lit(0))), lambda a, b: F.concat(a.left, b.right))
+    real = F.transform(patterns, lambda ps: F.transform(ps, lambda p: F.when(p.rlike(f"[^ {LINE}{RIGHT}]"), p)))  # marks alone are none
+    found = F.zip_with(_located(text, INSTANCE), real, lambda x, ps: F.struct(
+        (x.s + skip(x.m)).alias("s"), (x.s + skip(x.m) + F.length(bare(x.m))).alias("e"), F.lower(bare(x.m)).alias("instance"), ps.alias("patterns")))
+    return F.when(text.rlike("[0-9@]"), F.filter(found, lambda x: F.length(x.instance) >= 5).cast(form)).otherwise(F.array().cast(form))
+
+
+def _edges(contexts: str, which: range) -> Column:
+    """(s, e, instance, pattern) by the patterns at these places."""
+    at = lambda n: F.transform(contexts, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.instance.alias("instance"), x.patterns[n].alias("pattern")))
+    return F.filter(F.concat(*[at(n) for n in which]), lambda x: x.pattern.isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, key (hash of the text), base spans by kind, edges."""
+    """Per document: doc_id, key (hash of the text), base spans by kind, edges (two words before) and sides (the other patterns)."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
-    return text.select("doc_id", F.xxhash64("t").alias("key"), *[_base_spans(F.col("t"), k).alias(k) for k in KINDS], _edges(F.col("t")).alias("edges"))
+    found = text.select("doc_id", F.xxhash64("t").alias("key"), *[_base_spans(F.col("t"), k).alias(k) for k in KINDS], _contexts(F.col("t")).alias("contexts"))
+    return found.select("doc_id", "key", *KINDS, _edges("contexts", range(1)).alias("edges"), _edges("contexts", range(1, 4)).alias("sides"))
 
 
 def contextual_patterns(edges: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -150,12 +190,13 @@ def contextual_patterns(edges: DataFrame, rounds: int = ROUNDS, min_score: float
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_support: int = MIN_SUPPORT) -> DataFrame:
     """Per document: doc_id, base spans per kind (arrays of s, e) and ``added``: (kind, s, e) found by context."""
     work = written(scan(docs), "pii-scan")
-    edges = work.select("doc_id", "key", F.explode("edges").alias("x")).select("doc_id", "key", "x.*")
-    patterns = contextual_patterns(edges, rounds, min_score, min_support).select("pattern", "kind")
+    edges = work.select("doc_id", "key", F.explode(F.concat("edges", "sides")).alias("x")).select("doc_id", "key", "x.*")
+    patterns = contextual_patterns(edges, rounds, min_score, min_support).select("pattern", "kind", F.round("score", 9).alias("score"))
     seen = _kind_of(F.col("instance")).isNotNull()
-    hits = edges.where(~seen).join(patterns, "pattern").select("doc_id", "key", F.struct("kind", "s", "e").alias("x"))
+    hits = (edges.where(~seen).join(patterns, "pattern").groupBy("doc_id", "key", "s", "e").agg(F.max(F.struct("score", "kind")).alias("best"))
+            .select("doc_id", "key", F.struct("best.kind", "s", "e").alias("x")))
     added = hits.groupBy(F.col("doc_id").alias("a_id"), F.col("key").alias("a_key")).agg(F.collect_set("x").alias("added"))
-    joined = work.drop("edges").join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("key") == F.col("a_key")), "left")
+    joined = work.drop("edges", "sides").join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("key") == F.col("a_key")), "left")
     base = F.concat(*KINDS)
     free = F.filter("added", lambda x: ~F.exists(base, lambda b: (b.s < x.e) & (x.s < b.e)))
     return joined.select("doc_id", *KINDS, F.coalesce(free, F.array().cast("array<struct<kind:string,s:int,e:int>>")).alias("added"))

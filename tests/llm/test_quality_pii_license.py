@@ -61,6 +61,20 @@ def test_context_finds_unseen_identifiers(spark):
     assert [(r.kind, r.pattern) for r in contextual_patterns(edges).collect()] == [("email", "customer mail:")]
 
 
+def test_context_of_one_word_line_start_and_right_side(spark):
+    """Cues of one word, after varied text, a number, or nothing, beside long words, and to the right."""
+    rows = [(i, f"{w} own\nEmail: user{i}@x.com {w}") for i, w in enumerate(["ab", "cd", "ef", "gh"])]
+    rows += [(10 + i, f"{w} q{w} user{i}@y.org (mailbox)") for i, w in enumerate(["ij", "kl", "mn", "op"])]
+    rows += [(20 + i, f"{w} {'long' * 30} {'word' * 30} +49 30 123456{i} {w}") for i, w in enumerate(["qr", "st", "uv", "wx"])]
+    rows += [(50, "varied text xyz\nEmail: joe77[at]x.com"), (51, "order 1234 email: joe78[at]x.com"), (52, "Email: joe79[at]x.com"),
+             (53, "other joe80[at]x.com (mailbox)"), (54, f"{'long' * 30} {'word' * 30} 030-1234567"), (55, f"{'long' * 30} {'wOrd' * 29}word 030-1234568"), (56, "xyz plain 12345 here")]
+    found = {r.doc_id: r.spans for r in span_digest(find_personal_data(table(spark, rows))).collect()}
+    span = {i: f"{kind}:{t.index(m)}:{t.index(m) + len(m)}" for i, t, kind, m in [(*rows[-7], "email", "joe77[at]x.com"), (*rows[-6], "email", "joe78[at]x.com"),
+            (*rows[-5], "email", "joe79[at]x.com"), (*rows[-4], "email", "joe80[at]x.com"), (*rows[-3], "phone", "030-1234567"), (*rows[-2], "phone", "030-1234568")]}
+    assert {i: found[i] for i in span} == span
+    assert found[56] == ""
+
+
 def test_personal_data_empty_and_native(spark):
     assert span_digest(find_personal_data(empty(spark))).collect() == []
     plan = span_digest(find_personal_data(table(spark)))._jdf.queryExecution().toString()
