@@ -147,17 +147,17 @@ def _scan_all(queries: np.ndarray, k: int):
     return run
 
 
-def _route(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int, parts: np.ndarray, groups: int):
+def _route(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int, parts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for qid, v in zip(pdf["qid"], pdf["v"]):
+            for qid, grp, v in zip(pdf["qid"], pdf["grp"], pdf["v"]):
                 by: dict[int, list[int]] = {}
                 for i, j, seen in visits(np.asarray(v), first, second, sizes):
                     by.setdefault(i, []).append(j)
                     if seen >= enough:
                         break
-                rows.extend((i, p, qid % groups, qid, v, js) for i, js in by.items() for p in range(parts[i]))
+                rows.extend((i, p, grp, qid, v, js) for i, js in by.items() for p in range(parts[i]))
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=["i", "part", "grp", "qid", "qv", "js"])
                     rows = []
@@ -228,8 +228,9 @@ def nearest(rows: DataFrame, query_step: int = 20, k: int = 20, target_recall: f
 
     parts = np.maximum(1, -(-sizes.sum(1) // BLOCK_ENTRIES))
     groups = max(1, -(-n_queries // QUERY_GROUP))
-    routed = written(distinct.select("qid", "v").mapInPandas(
-        _route(first, second, sizes, enough, parts, groups), "i int, part int, grp long, qid long, qv array<double>, js array<int>"), "nearest-routes")
+    grp = F.pmod(F.xxhash64("qid"), F.lit(groups)).alias("grp")  # ids may share a factor with the number of groups
+    routed = written(distinct.select("qid", grp, "v").mapInPandas(
+        _route(first, second, sizes, enough, parts), "i int, part int, grp long, qid long, qv array<double>, js array<int>"), "nearest-routes")
     of_part = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("i") + 1)
     blocks = filed.withColumn("part", F.pmod(F.xxhash64("v"), of_part).cast("int"))
     pairs = routed.select(F.col("i").alias("to_i"), F.col("part").alias("to_part"), F.col("grp").alias("to_grp")).distinct()

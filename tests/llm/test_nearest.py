@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from courierflow.llm import nearest as module
 from courierflow.llm.nearest import nearest, visits
 
 
@@ -69,3 +70,21 @@ def test_pairs_come_by_growing_distance():
     assert cost == sorted(cost)
     assert {(i, j) for i, j, _ in got} == {(i, j) for i in range(5) for j in range(4) if sizes[i, j]}
     assert got[-1][2] == sizes.sum()
+
+
+def test_queries_are_dealt_over_all_groups(spark, monkeypatch):
+    """Every query id is a multiple of the step; the number of groups shares that factor."""
+    kept = {}
+
+    def written(df, name, was=module.written):
+        kept[name] = was(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(module, "written", written)
+    monkeypatch.setattr(module, "QUERY_GROUP", 2)
+    rows = rows_of(800, 8, 1)
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 5).collect()
+    assert len(got) == 40 * 5
+    dealt = {r.qid: r.grp for r in kept["nearest-routes"].select("qid", "grp").distinct().collect()}
+    assert len(dealt) == 40 and set(dealt.values()) <= set(range(20))
+    assert max(list(dealt.values()).count(g) for g in set(dealt.values())) <= 8
