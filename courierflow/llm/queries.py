@@ -17,8 +17,11 @@ from courierflow.llm.near_dup import near_duplicates
 from courierflow.llm.nearest import nearest
 from courierflow.llm.packing import pack
 from courierflow.llm.pii import find_personal_data, span_digest
+from courierflow.llm.prefix_trie import conversation_trie
 from courierflow.llm.quality import classify
 from courierflow.llm.token_counts import token_counts
+from courierflow.llm.token_files import token_files
+from courierflow.llm.vector_codes import vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +138,65 @@ SELECT d.doc_id, coalesce(k.class_id, c.copy_id) AS class_id, c.copy_id, c.n_cop
 FROM sets d JOIN copies c ON d.s = c.s LEFT JOIN classes k ON k.a = c.copy_id LEFT JOIN degree g ON g.a = c.copy_id""")
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_register("op11_token_files")
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
+
+
+def _round_sql(k: int) -> str:
+    """Assignment ``near{k}`` of all parts to ``book{k}``, and the book after it."""
+    return f"""
+near{k} AS (SELECT n, c.p, min(struct_pack(d := list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - b.c[i]) * (x[i] - b.c[i])))::BIGINT, e := b.e)) AS m
+           FROM cut c JOIN book{k} b ON b.p = c.p GROUP BY n, c.p),
+mean{k} AS (SELECT p, e, list(f ORDER BY i) AS c FROM (
+             SELECT a.p, m.e AS e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS f
+             FROM near{k} a JOIN cut c ON c.n = a.n AND c.p = a.p CROSS JOIN LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY a.p, m.e, i) GROUP BY p, e),
+book{k + 1} AS (SELECT b.p, b.e, coalesce(u.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} u ON u.p = b.p AND u.e = b.e)"""
+
+
+@_register("op12_vector_codes", sql=f"""
+WITH whole AS (SELECT vec_id, label, embedding FROM embeddings
+               WHERE len(embedding) > 0 AND len(embedding) % 16 = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM whole
+         WHERE len(embedding) = (SELECT len(embedding) FROM whole ORDER BY vec_id NULLS LAST, embedding LIMIT 1)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS n FROM kept),
+cut AS (SELECT n, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM numbered, (SELECT unnest(range(16)) AS p)),
+book0 AS (SELECT p, n AS e, x AS c FROM cut WHERE n < 64),{_round_sql(0)},{_round_sql(1)},
+final AS (SELECT n, c.p, min(struct_pack(d := list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - b.c[i]) * (x[i] - b.c[i])))::BIGINT, e := b.e)) AS m
+          FROM cut c JOIN book2 b ON b.p = c.p GROUP BY n, c.p),
+coded AS (SELECT n, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM final GROUP BY n),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS s FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256
+FROM numbered JOIN coded USING (n) CROSS JOIN digest""")
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+@_register("op13_prefix_trie", sql=r"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS o,
+         sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS item, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+sized AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
+            xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ord((conv_id::VARCHAR)[i])::BIGINT)),
+              lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))))) % 4 AS h
+          FROM own GROUP BY conv_id),
+plan AS (SELECT s.*, least(s.h, coalesce(b.n, 0)) AS taken FROM sized s LEFT JOIN sized b ON b.conv_id = s.base),
+built AS (SELECT p.conv_id, o - h + taken AS pos, item, words FROM plan p JOIN own USING (conv_id) WHERE o >= h
+          UNION ALL SELECT p.conv_id, o, item, words FROM plan p JOIN own ON own.conv_id = p.base WHERE o < h),
+paths AS (SELECT conv_id, pos, words, string_agg(item, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM built),
+members AS (SELECT conv_id, path, pos + 1 AS depth, words FROM paths UNION ALL SELECT conv_id, '', 0, 0 FROM plan),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words FROM members GROUP BY path, depth),
+kids AS (SELECT left(path, 64 * (depth - 1)) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+base AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+spread AS (SELECT left(path, 64 * k) AS path, n_children, n, words FROM base, LATERAL (SELECT unnest(range(depth + 1)) AS k)),
+totals AS (SELECT path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n - 1) * words)::BIGINT AS saved_tokens FROM spread GROUP BY path),
+tails AS (SELECT conv_id, max(path) AS path FROM members GROUP BY conv_id),
+ends AS (SELECT path, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM tails GROUP BY path)
+SELECT b.conv_id, b.depth, u.conv_id AS parent_conv_id, b.n AS n_convs, b.n_children, t.n_leaves, t.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM base b JOIN totals t USING (path) LEFT JOIN ends e USING (path) LEFT JOIN base u ON b.depth > 0 AND u.path = left(b.path, 64 * (b.depth - 1))""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))

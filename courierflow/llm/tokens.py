@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from courierflow.llm.common import _powers, mix
 CACHE_ENTRIES = 600_000
 CHUNK_BYTES = 1 << 19
 _U = np.uint64
+#: White space from which on a run is cut out before the pattern sees it, which backtracks over all of it.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 
 
 def byte_bpe_path() -> str:
@@ -98,11 +101,25 @@ class TokenIds:
         while self.fill + ids > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
 
+    def _plain(self, raw: bytes) -> list[int]:
+        """Ids of a text without special tokens.  Of a run of white space that a word follows, the
+        pattern makes one piece of all but the last character; long runs are cut out by that rule."""
+        text = raw.decode()
+        if len(raw) < 4096:
+            return self.piece.encode_ordinary(text)
+        out, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self.piece.encode_ordinary(text[at:run.start()])
+            out += self.piece._encode_single_piece(text[run.start():end])
+            at = end
+        return out + self.piece.encode_ordinary(text[at:])
+
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encode unseen pieces in one call: joined, a piece still starts a new
         word, because it begins with white space and the one before does not end
         with it; the tokens' byte lengths then say where each piece's ids end."""
-        ids = np.array(self.piece.encode_ordinary(b"".join(pieces).decode()), np.uint32)
+        ids = np.array(self._plain(b"".join(pieces)), np.uint32)
         reach = np.cumsum(self.bytes_of[ids])
         ends = np.searchsorted(reach, np.cumsum([len(p) for p in pieces])) + 1
         self._room(len(pieces), len(ids))
@@ -182,7 +199,7 @@ class TokenIds:
                     if any(t in raw for t in self.special):
                         yield np.array(self.whole.encode(raw.decode(), add_special_tokens=False).ids, np.uint32)
                     elif self._odd(one):
-                        yield np.array(self.piece.encode_ordinary(raw.decode()), np.uint32)
+                        yield np.array(self._plain(raw), np.uint32)
                     else:
                         yield self._one(one)
             elif hi - lo == 1:
