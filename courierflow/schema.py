@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 # Delivery status, in lifecycle order.
 ORDER_STATUSES = ["CONFIRMED", "PREPARING", "READY_FOR_PICKUP", "PICKED_UP", "IN_TRANSIT", "DELIVERED"]
 FINAL_STATUS = "DELIVERED"
+READY_STATUS = "READY_FOR_PICKUP"
 # Courier vehicle kinds.
 VEHICLE_TYPES = ["BIKE", "MOTORCYCLE", "CAR"]
 # varchar limits: names and emails 255, phone 20, kitchen type 100.
