@@ -30,6 +30,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -246,10 +247,11 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int]
                 recall: float = TARGET_RECALL, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """The first document (smallest doc_id, null last, then content) of each class, all its columns."""
     _, known = _linked(docs, width, threshold, trees, recall, block, seed)
-    first = known.groupBy("root").agg(F.min(F.struct(F.coalesce("copy_id", F.lit(_LAST)).alias("d"), "tkey")).alias("f")).select(F.col("f.d").alias("_kd"), F.col("f.tkey").alias("_kt"))
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_t", F.xxhash64(text_of()))
-    kept = keyed.join(first, (F.col("_d") == F.col("_kd")) & (F.col("_t") == F.col("_kt")), "left_semi")
-    return kept.dropDuplicates(["_d", "_t"]).select(*[F.col(f"`{c}`") for c in docs.columns])  # the same row repeated
+    d, t, kd, kt = (f"{uuid.uuid4().hex}_{x}" for x in range(4))  # no column of the documents has such a name
+    first = known.groupBy("root").agg(F.min(F.struct(F.coalesce("copy_id", F.lit(_LAST)).alias("d"), "tkey")).alias("f")).select(F.col("f.d").alias(kd), F.col("f.tkey").alias(kt))
+    keyed = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(t, F.xxhash64(text_of()))
+    kept = keyed.join(first, (F.col(d) == F.col(kd)) & (F.col(t) == F.col(kt)), "left_semi")
+    return kept.dropDuplicates([d, t]).select(*[F.col(f"`{c}`") for c in docs.columns])  # the same row repeated
 
 
 def _linked(docs: DataFrame, width: int, threshold: tuple[int, int], trees: int, recall: float, block: int, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -28,6 +28,8 @@ kept; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,7 @@ WORD_CHARS = 48
 #: The end of a line as a word, and what a pattern of the right side begins with.
 LINE, RIGHT = "\u0001", "\u0002"
 
+RUN = 256
 ROUNDS = 3
 MIN_SCORE = 0.8
 MIN_SUPPORT = 3
@@ -61,17 +64,34 @@ MIN_SUPPORT = 3
 _SPAN = "array<struct<s:int,e:int>>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _located(text: Column, form: str) -> Column:
-    """All matches as (s, e, m, p): start and end in code points, match, text before it."""
+    """All matches as (s, e, m): start and end in code points and match.
+
+    Lengths are summed in runs of RUN matches and over the runs, so that no array grows by one
+    element at a time for a whole text."""
+    row = "array<struct<s:int,e:int,m:string>>"
     pairs = F.filter(F.zip_with(F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0)),
-                                lambda p, m: F.struct(p.alias("p"), m.alias("m"))), lambda x: x.m.isNotNull())
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string,p:string>>").alias("out"))
-    return F.aggregate(
-        pairs, empty,
-        lambda a, x: F.struct(
-            (a.at + F.length(x.p) + F.length(x.m)).alias("at"),
-            F.concat(a.out, F.array(F.struct((a.at + F.length(x.p)).alias("s"), (a.at + F.length(x.p) + F.length(x.m)).alias("e"), x.m.alias("m"), x.p.alias("p")))).alias("out")),
-        lambda a: a.out)
+                                lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m"))), lambda x: x.m.isNotNull())
+
+    def run(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), F.array().cast(row).alias("out")), lambda a, x: F.struct(
+            (a.at + x.p + F.length(x.m)).alias("at"),
+            F.concat(a.out, F.array(F.struct((a.at + x.p).alias("s"), (a.at + x.p + F.length(x.m)).alias("e"), x.m.alias("m")))).alias("out")))
+
+    def every(ps: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / RUN).cast("int")), lambda i: run(F.slice(ps, i * RUN + 1, F.lit(RUN))))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,out:{row}>>").alias("runs"))
+        laid = F.aggregate(runs, start, lambda a, r: F.struct(
+            (a.at + r.at).alias("at"), F.concat(a.runs, F.array(F.struct(a.at.alias("at"), r.out.alias("out")))).alias("runs")), lambda a: a.runs)
+        moved = F.flatten(F.transform(laid, lambda r: F.transform(r.out, lambda x: F.struct((x.s + r.at).alias("s"), (x.e + r.at).alias("e"), x.m.alias("m")))))
+        return F.when(F.size(ps) > 0, moved).otherwise(F.array().cast(row))
+
+    return _bound(pairs, every)
 
 
 def _digits(m: Column) -> Column:
@@ -135,17 +155,16 @@ def _contexts(text: Column) -> Column:
     form = "array<struct<s:int,e:int,instance:string,patterns:array<string>>>"
     bare = lambda m: F.regexp_replace(m, r"^[^0-9A-Za-z+]+|[^0-9A-Za-z]+$", "")
     skip = lambda m: F.length(m) - F.length(F.regexp_replace(m, r"^[^0-9A-Za-z+]+", ""))
-    stretches = F.split(text, INSTANCE, -1)
-    ends = F.transform(stretches, lambda p, i: F.struct(
+    ends = lambda stretches: F.transform(stretches, lambda p, i: F.struct(
         _beside(F.concat(F.when(i == 0, F.lit("\n")).otherwise(F.lit("0")), p), True).alias("left"),
         _beside(F.concat(p, F.when(i == F.size(stretches) - 1, F.lit("\n")).otherwise(F.lit("0"))), False).alias("right")))
-    words = F.transform(ends, lambda x: F.struct(
+    words = F.transform(_bound(F.split(text, INSTANCE, -1), ends), lambda x: F.struct(
         _shape(F.try_element_at(x.left, F.lit(-2))).alias("l2"), _shape(F.try_element_at(x.left, F.lit(-1))).alias("l1"),
         _shape(F.try_element_at(x.right, F.lit(1))).alias("r1"), _shape(F.try_element_at(x.right, F.lit(2))).alias("r2")))
     named = F.transform(words, lambda x: F.struct(
         F.array(F.concat(x.l2, F.lit(" "), x.l1), x.l1).alias("left"),
         F.array(F.concat(F.lit(f"{RIGHT} "), x.r1), F.concat(F.lit(f"{RIGHT} "), x.r1, F.lit(" "), x.r2)).alias("right")))
-    patterns = F.zip_with(named, F.slice(named, F.lit(2), F.greatest(F.size(named) - 1, F.lit(0))), lambda a, b: F.concat(a.left, b.right))
+    patterns = _bound(named, lambda n: F.zip_with(n, F.slice(n, F.lit(2), F.greatest(F.size(n) - 1, F.lit(0))), lambda a, b: F.concat(a.left, b.right)))
     real = F.transform(patterns, lambda ps: F.transform(ps, lambda p: F.when(p.rlike(f"[^ {LINE}{RIGHT}]"), p)))  # marks alone are none
     found = F.zip_with(_located(text, INSTANCE), real, lambda x, ps: F.struct(
         (x.s + skip(x.m)).alias("s"), (x.s + skip(x.m) + F.length(bare(x.m))).alias("e"), F.lower(bare(x.m)).alias("instance"), ps.alias("patterns")))

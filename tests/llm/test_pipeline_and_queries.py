@@ -66,6 +66,18 @@ def test_pipeline_takes_awkward_and_empty_documents(spark):
         p.STAGES[-1][1](spark, docs, SMALL).collect()
 
 
+def test_near_duplicate_stage_keeps_the_values_of_columns(spark):
+    from pyspark.sql import functions as F
+
+    from courierflow.llm.near_dup import one_of_each
+
+    docs = table(spark).withColumn("_d", F.lit("mine")).withColumn("_kd", F.concat(F.lit("k"), "text")).withColumn("a.b", F.col("doc_id") + 1)
+    got = one_of_each(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert rows and all(r["_d"] == "mine" and r["_kd"] == (None if r["text"] is None else "k" + r["text"]) and r["a.b"] == (None if r["doc_id"] is None else r["doc_id"] + 1) for r in rows)
+
+
 def test_entry_registers_queries_and_pipeline():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())

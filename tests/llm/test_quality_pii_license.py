@@ -51,6 +51,15 @@ def test_base_spans_equal_the_plain_forms(spark):
     assert all(set(",".join(f"{k}:{a}:{b}" for k, a, b in base(t)).split(",")) <= set(r.spans.split(",")) | {""} for i, t in rows for r in got if r.doc_id == i and i is not None and i != 4)
 
 
+def test_many_matches_in_one_text(spark):
+    """More matches than a run holds, in one row: positions go on over the runs."""
+    text = " ".join(f"é u{i}@ex{i % 97}.com {i} 10.0.{i % 300}.7" for i in range(3000))
+    found = span_digest(find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    want = base(text)
+    assert found.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+    assert found.n_email == 3000 and found.n_ip == sum(k == "ip" for k, _, _ in want) > 2500
+
+
 def test_context_finds_unseen_identifiers(spark):
     rows = [(i, f"filler words then customer mail: user{i}@x.com and more") for i in range(6)]
     rows += [(50, "some customer mail: joe77[at]x.com end"), (51, "the plain number 12345 is not personal")]
