@@ -118,6 +118,12 @@ def check_kitchen_row(kitchen: DataFrame) -> DataFrame:
         (F.col("type").isNotNull() & (F.length("type") <= KITCHEN_TYPE_MAX_LEN), "Invalid kitchen type.")]))
 
 
+def check_name_row(rows: DataFrame) -> DataFrame:
+    """V5 for restaurants, items and regions: name present and not too long."""
+    return rows.withColumn("reject_reason", first_failing([
+        (F.col("name").isNotNull() & (F.length("name") <= NAME_MAX_LEN), "Invalid name.")]))
+
+
 def check_phone_row(phones: DataFrame) -> DataFrame:
     return phones.withColumn("reject_reason", first_failing([
         (F.col("phone").isNotNull() & (F.length("phone") <= PHONE_MAX_LEN), "Invalid phone.")]))

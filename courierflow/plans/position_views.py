@@ -99,11 +99,16 @@ def q_position_known_courier(spark, sf_dir):
     FROM d_msg m LEFT JOIN d_courier c ON c.id = m.courier_id
     WHERE m.reject_reason IS NULL AND m.delivery_id IS NOT NULL""", [MSG_PARSED]))
 def q_position_put(spark, sf_dir):
-    """Position reports = messages in the API shape (they carry a delivery)."""
+    """Position reports = messages in the API shape (they carry a delivery): the accepted
+    ones are put into a history and read back from it, the others have a reason."""
     t = tables(spark, sf_dir)
     reports = po.valid_positions(po.parse_messages(t.position_message)) \
         .where(F.col("delivery_id").isNotNull()).select("courier_id", "ts", "delivery_id", "lat", "lon")
-    return po.position_put(reports, t.courier)
+    checked = po.position_put(reports, t.courier)
+    path = _scratch(spark, "s4-history")
+    sp.write_history(checked.where("accepted").withColumn("batch_id", F.lit(0)), path, 0)
+    put = sp.read_history(spark, path).select(*reports.columns, F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reject_reason"))
+    return put.unionByName(checked.where("NOT accepted"))
 
 
 @register("stream_positions", "S2", oracle("""

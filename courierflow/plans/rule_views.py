@@ -100,7 +100,12 @@ def q_check_quantity_pos(spark, sf_dir):
     SELECT 'event', CAST(id AS VARCHAR),
            CASE WHEN status NOT IN ('CONFIRMED', 'PREPARING', 'READY_FOR_PICKUP', 'PICKED_UP', 'IN_TRANSIT',
                                     'DELIVERED') OR status IS NULL THEN 'Invalid status.' END
-    FROM d_event"""))
+    FROM d_event
+    UNION ALL
+    SELECT entity, CAST(id AS VARCHAR),
+           CASE WHEN NOT coalesce(name IS NOT NULL AND length(name) <= 255, false) THEN 'Invalid name.' END
+    FROM (SELECT 'restaurant' AS entity, id, name FROM d_restaurant
+          UNION ALL SELECT 'item', id, name FROM d_item UNION ALL SELECT 'region', id, name FROM d_region)"""))
 def q_check_enum_len(spark, sf_dir):
     t = tables(spark, sf_dir)
     parts = [
@@ -110,6 +115,8 @@ def q_check_enum_len(spark, sf_dir):
                                             F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("phone")).alias("key"),
                                             "reject_reason"),
         ru.check_status_row(t.event).select(F.lit("event").alias("entity"), F.col("id").cast("string").alias("key"), "reject_reason"),
+        *[ru.check_name_row(rows).select(F.lit(name).alias("entity"), F.col("id").cast("string").alias("key"), "reject_reason")
+          for name, rows in (("restaurant", t.restaurant), ("item", t.item), ("region", t.region))],
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -195,3 +195,8 @@ def test_server_time_is_utc_wall_clock(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
     after = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     assert before - dt.timedelta(seconds=1) <= got <= after + dt.timedelta(seconds=1)
+
+
+def test_name_length_of_restaurants_items_and_regions(spark):
+    rows = spark.createDataFrame([(1, "x" * 255), (2, "x" * 256), (3, None), (4, "")], "id bigint, name string")
+    assert {r.id: r.reject_reason for r in ru.check_name_row(rows).collect()} == {1: None, 2: "Invalid name.", 3: "Invalid name.", 4: None}
