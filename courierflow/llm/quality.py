@@ -151,9 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
     known = (labels.select(F.col("doc_id").cast("long").alias("_id"), bad.alias("bad")).where("bad IS NOT NULL AND _id IS NOT NULL").groupBy("_id").agg(F.max("bad").alias("bad")))
     share = fit_rows / max(1, known.count())
-    chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < min(1.0, share) * (1 << 30)).limit(fit_rows)
+    chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < min(1.0, share) * (1 << 30)).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     got = texts.select("bad", "text").mapInArrow(_collect, "bad int, shape array<double>, hashed binary").limit(2 * fit_rows).collect()
+    got.sort(key=lambda r: (r.bad, bytes(r.hashed), r.shape))  # sums come out alike however the rows arrive
     y = np.array([r.bad for r in got])
     if len(set(y.tolist())) < 2:
         return None

@@ -173,3 +173,11 @@ def test_small_corpus_query_runs(spark):
 def test_degenerate_texts(spark, text):
     r = span_digest(find_personal_data(table(spark, [(1, text)]))).first()
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) == (0, 0, 0, 0, "")
+
+
+def test_model_does_not_depend_on_the_partitioning(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    few = [{r.doc_id: r for r in classify(docs.repartition(n), labels.repartition(n), fit_rows=40, keep_text=False).collect()} for n in (1, 7)]
+    assert few[0].keys() == few[1].keys()
+    for a, b in ((few[0][i], few[1][i]) for i in few[0]):  # site means are sums of doubles in any order
+        assert a.evidence == b.evidence and a.kept == b.kept and a.prior == pytest.approx(b.prior, rel=1e-12)
