@@ -4,15 +4,23 @@ A document is the set of its word shingles (five words, 64-bit hashes; a
 document of fewer words is one shingle).  Documents with one set are one node of
 the join, so exact copies cost one row however many they are.
 
-1. Every node gets ``trees`` MinHash paths.  Paths are matched by prefix; the
-   prefix is shortened level by level until a pair at the threshold shares one
-   in some tree with the target recall.  Nodes that share a tree's prefix are
-   a group; groups of one fall out, and of groups with the same members only the
-   first tree's is kept (members are compared by two hashes and their count).
+1. Every node gets ``trees`` paths of MAX_DEPTH one-byte MinHash labels; a path is
+   one 64-bit number, so the sorted paths of a tree are its prefix trie in order.
+   All (tree, path) rows are range-sorted once, and in one pass over them the
+   rows that share a prefix with a neighbour become groups.
+   A row's prefix starts at full depth and is shortened level by level until the
+   row's recall bound holds: the least similarity that a different set can have to
+   a set of its size without missing the threshold must be met in some tree with
+   the target recall.  Sizes are whole, so a short text's partners lie above
+   the threshold and its prefix stays longer; sets of three shingles have no partner
+   at 0.8 and take no part.  A pair is matched at the longer of its rows' prefixes
+   (the bound of either row covers it).  Groups of one fall out, and of groups with the same
+   members only the first tree's is kept (compared by two hashes and their count).
 2. The members' shingle sets are joined in, and every pair of a group is verified
-   by its exact Jaccard similarity.  A pair is looked at only in the first tree
-   whose prefix it shares, so it counts once.  Groups above BLOCK members are
-   split by a hash into blocks and every pair of blocks is a task of its own.
+   by its exact Jaccard similarity.  A pair is looked at only at its own level, in the
+   first tree whose prefix it shares, so it counts once.  Groups above BLOCK members or
+   BLOCK_BYTES of shingles are split by a hash into blocks and every pair of blocks is
+   a task of its own.
    Tasks return, per member, how many links it has and the smallest node of its
    local component: never the pairs.
 3. Components over those edges are the classes.
@@ -32,6 +40,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +54,7 @@ WIDTH = 5
 THRESHOLD = (4, 5)
 TREES, MAX_DEPTH = 32, 8
 TARGET_RECALL = 0.9999
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 256, 1 << 25
 _LAST = (1 << 63) - 1
 _U = np.uint64
 
@@ -58,6 +67,27 @@ def forest_depth(threshold: float, trees: int, max_depth: int, recall: float) ->
     return depth
 
 
+def least_similarity(size: int, threshold: tuple[int, int]) -> Fraction | None:
+    """The least Jaccard similarity at or above the threshold that a set of this size can have to
+    a different set; None if there is none.  Large sets get the threshold itself, a lower bound."""
+    over, under = threshold
+    if size > 256:
+        return Fraction(over, under)
+    best = None
+    for other in range(-(-size * over // under), size * under // over + 1):
+        both = -(-over * (size + other) // (over + under))
+        if both <= min(size, other) and 0 < both < size + other - both:
+            found = Fraction(both, size + other - both)
+            best = found if best is None else min(best, found)
+    return best
+
+
+def stop_depth(size: int, threshold: tuple[int, int], trees: int, max_depth: int, recall: float) -> int:
+    """The depth at which shortening ends for a set of this size; max_depth + 1 if it can have no partner."""
+    least = least_similarity(size, threshold)
+    return max_depth + 1 if least is None else forest_depth(float(least), trees, max_depth, recall)
+
+
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, in row order."""
     keys = [_U(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(width)]
@@ -80,36 +110,80 @@ class MinHashForest:
     def __init__(self, trees: int, depth: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
         self.factors = rng.integers(0, 1 << 63, trees * depth).astype(_U) * _U(2) + _U(1)
-        self.levels = np.array([pow(0xC2B2AE3D27D4EB4F, j + 1, 1 << 64) for j in range(depth)], _U)
         self.shape = trees, depth
 
-    def prefixes(self, shingles: np.ndarray) -> np.ndarray:
-        """Hash of the path prefix in each tree."""
+    def paths(self, shingles: np.ndarray) -> np.ndarray:
+        """The path of each tree: a byte of MinHash per level, first level highest."""
         if len(shingles) <= 1024:
             least = (shingles[None, :] * self.factors[:, None]).min(1)
         else:
             least = np.array([(shingles * a).min() for a in self.factors], _U)
-        return mix((mix(least).reshape(self.shape) * self.levels).sum(1)).view(np.int64)
+        labels = (mix(least) >> _U(56)).reshape(self.shape)
+        out = np.zeros(self.shape[0], _U)
+        for level in range(self.shape[1]):
+            out = (out << _U(8)) | labels[:, level]
+        return out.view(np.int64)
+
+
+def prefix(paths: np.ndarray, level: int | np.ndarray) -> np.ndarray:
+    """The first ``level`` labels of each path."""
+    return paths >> (8 * (MAX_DEPTH - level))
 
 
-def _sign(width: int, trees: int, depth: int, seed: int):
+def _sign(width: int, threshold: tuple[int, int], trees: int, recall: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        forest = MinHashForest(trees, depth, seed)
+        forest = MinHashForest(trees, MAX_DEPTH, seed)
+        stops: dict[int, int] = {}
         for batch in batches:
-            nodes, paths, sizes = [], [], []
+            nodes, paths, sizes, counts, depths = [], [], [], [], []
             for s in shingle_sets(batch.column(2), width):
+                n = min(len(s), 257)  # larger sets share one depth
+                if n not in stops:
+                    stops[n] = stop_depth(n, threshold, trees, MAX_DEPTH, recall) if n else MAX_DEPTH + 1
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                paths.append(forest.prefixes(s) if len(s) else np.zeros(0, np.int64))
+                paths.append(forest.paths(s) if stops[n] <= MAX_DEPTH else np.zeros(0, np.int64))
                 sizes.append(len(paths[-1]))
+                counts.append(len(s))
+                depths.append(stops[n])
             flat = np.concatenate(paths) if paths else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), lists], ["doc_id", "tkey", "node", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()),
+                                              pa.array(depths, pa.int32()), lists], ["doc_id", "tkey", "node", "size", "stop", "paths"])
 
     return run
 
 
+def trie_runs(tree: np.ndarray, path: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, rows, prefixes) of the sorted rows that match a neighbour at that level.
+
+    At a level the rows whose bound holds there or at a shorter prefix are open.  A run of open
+    rows with one prefix is a match if shortening ends there for one of them.  The first
+    and last run may go on in the next batch or partition and are always given.
+    """
+    for level in range(int(stop.min()), MAX_DEPTH + 1) if len(stop) else ():
+        rows = np.flatnonzero(stop <= level)
+        at = prefix(path[rows], level)
+        new = np.concatenate([[True], (at[1:] != at[:-1]) | (tree[rows][1:] != tree[rows][:-1])])
+        run = np.cumsum(new) - 1
+        runs = int(run[-1]) + 1
+        ends = np.bincount(run[stop[rows] == level], minlength=runs) > 0
+        match = (np.bincount(run, minlength=runs) > 1) & ends
+        match[[0, -1]] = True
+        yield level, rows[match[run]], at[match[run]]
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["level", "tree", "prefix", "node", "size", "stop"]
+    for batch in batches:
+        tree, path, stop = (batch.column(i).to_numpy() for i in (0, 1, 2))
+        for level, rows, at in trie_runs(tree, path, stop):
+            taken = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), level, np.int32)), taken.column(0), pa.array(at, pa.int64()),
+                                              taken.column(3), taken.column(4), taken.column(2)], names)
+
+
 def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,11 +193,12 @@ def _shingles(width: int):
     return run
 
 
-def _eligible(tree: int, paths: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Mask left x right of pairs that share no prefix in an earlier tree."""
-    out = np.ones((len(left), len(right)), bool)
+def _eligible(level: int, tree: int, paths: np.ndarray, stops: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Mask left x right of pairs of this level that share no prefix of it in an earlier tree."""
+    at = prefix(paths[:, :tree], level)
+    out = np.maximum(stops[left][:, None], stops[right][None, :]) == level
     for t in range(tree):
-        out &= paths[left, t][:, None] != paths[right, t][None, :]
+        out &= at[left, t][:, None] != at[right, t][None, :]
     return out
 
 
@@ -147,11 +222,12 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return out.astype(np.int64)
 
 
-def verify(tree: int, left: np.ndarray, right: np.ndarray, paths: np.ndarray, sets: list[np.ndarray], threshold: tuple[int, int]) -> np.ndarray:
+def verify(level: int, tree: int, left: np.ndarray, right: np.ndarray, paths: np.ndarray, stops: np.ndarray, sets: list[np.ndarray],
+           threshold: tuple[int, int]) -> np.ndarray:
     """Linked pairs (rows of two members) of left x right; a square block gives each pair once."""
     over, under = threshold
     size = np.array([len(s) for s in sets])
-    mask = _eligible(tree, paths, left, right)
+    mask = _eligible(level, tree, paths, stops, left, right)
     mask &= under * np.minimum(size[left][:, None], size[right]) >= over * np.maximum(size[left][:, None], size[right])
     if left is right:
         mask &= np.tri(len(left), k=-1, dtype=bool)
@@ -184,17 +260,18 @@ def _local_roots(links: np.ndarray, members: int) -> list[int]:
 
 
 def _verify_groups(threshold: tuple[int, int]):
-    """Rows sorted by (tree, prefix, x, y): block x against block y of a group."""
+    """Rows sorted by (level, tree, prefix, x, y): block x against block y of a group."""
 
     def one(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        tree, _, x, y = key
+        level, tree, _, x, y = key
         rows.sort(key=lambda r: r[1])  # by node, so that a local root is the smallest node
         block = np.array([r[0] for r in rows])
         paths = np.stack([r[3] for r in rows])
         sets = [np.frombuffer(r[4], _U) for r in rows]
+        stops = np.array([r[5] for r in rows])
         left = np.flatnonzero(block == x)
         right = left if x == y else np.flatnonzero(block == y)
-        links = verify(tree, left, right, paths, sets, threshold)
+        links = verify(level, tree, left, right, paths, stops, sets, threshold)
         if not len(links):
             return
         copies = np.array([r[2] for r in rows])
@@ -212,9 +289,9 @@ def _verify_groups(threshold: tuple[int, int]):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
-            block, copies = batch.column(4).to_pylist(), batch.column(6).to_pylist()
-            nodes, paths, sets = batch.column(5), batch.column(7), batch.column(8)
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
+            block, copies, stops = (batch.column(i).to_pylist() for i in (5, 7, 8))
+            nodes, paths, sets = batch.column(6), batch.column(9), batch.column(10)
             for r, k in enumerate(keys):
                 if k != key:
                     if held:
@@ -223,7 +300,7 @@ def _verify_groups(threshold: tuple[int, int]):
                     if len(out) >= 8192:
                         yield ready()
                         out = []
-                held.append((block[r], nodes[r].as_py(), copies[r], paths[r].values.to_numpy(), sets[r].as_py()))
+                held.append((block[r], nodes[r].as_py(), copies[r], paths[r].values.to_numpy(), sets[r].as_py(), stops[r]))
         if held:
             out.extend(one(key, held))
         if out:
@@ -233,10 +310,10 @@ def _verify_groups(threshold: tuple[int, int]):
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES,
-                    recall: float = TARGET_RECALL, block: int = BLOCK, seed: int = 11) -> DataFrame:
+                    recall: float = TARGET_RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, seed: int = 11) -> DataFrame:
     """Per document: doc_id, class_id, copy_id (smallest id with the same shingles), n_copies and
     n_links (other documents at or above the threshold, copies among them)."""
-    signed, known = _linked(docs, width, threshold, trees, recall, block, seed)
+    signed, known = _linked(docs, width, threshold, trees, recall, block, block_bytes, seed)
     ids = known.groupBy("root").agg(F.min("copy_id").alias("class_id")).withColumnRenamed("root", "r")
     final = known.join(ids, F.col("root") == F.col("r")).select(
         F.col("node").alias("k_node"), "class_id", "copy_id", F.col("copies").alias("n_copies"), (F.col("docs") + F.col("copies") - 1).alias("n_links"))
@@ -244,9 +321,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, i
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, trees: int = TREES,
-                recall: float = TARGET_RECALL, block: int = BLOCK, seed: int = 11) -> DataFrame:
+                recall: float = TARGET_RECALL, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, seed: int = 11) -> DataFrame:
     """The first document (smallest doc_id, null last, then content) of each class, all its columns."""
-    _, known = _linked(docs, width, threshold, trees, recall, block, seed)
+    _, known = _linked(docs, width, threshold, trees, recall, block, block_bytes, seed)
     d, t, kd, kt = (f"{uuid.uuid4().hex}_{x}" for x in range(4))  # no column of the documents has such a name
     first = known.groupBy("root").agg(F.min(F.struct(F.coalesce("copy_id", F.lit(_LAST)).alias("d"), "tkey")).alias("f")).select(F.col("f.d").alias(kd), F.col("f.tkey").alias(kt))
     keyed = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(t, F.xxhash64(text_of()))
@@ -254,35 +331,40 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int]
     return kept.dropDuplicates([d, t]).select(*[F.col(f"`{c}`") for c in docs.columns])  # the same row repeated
 
 
-def _linked(docs: DataFrame, width: int, threshold: tuple[int, int], trees: int, recall: float, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, width: int, threshold: tuple[int, int], trees: int, recall: float, block: int, block_bytes: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tkey, node) per document, and per node its first document, copies, component root and links."""
-    depth = forest_depth(threshold[0] / threshold[1], trees, MAX_DEPTH, recall)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("tkey"), "text")
-    signed = written(rows.mapInArrow(_sign(width, trees, depth, seed), "doc_id long, tkey long, node binary, paths array<long>"), "near-signed")
+    signed = written(rows.mapInArrow(_sign(width, threshold, trees, recall, seed),
+                                     "doc_id long, tkey long, node binary, size long, stop int, paths array<long>"), "near-signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tkey"))
-    nodes = signed.groupBy("node").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"))
-    nodes = written(nodes.select("node", F.col("f.doc_id").alias("copy_id"), F.col("f.tkey").alias("tkey"), "copies", "paths"), "near-nodes")
-
-    met = nodes.select("node", F.posexplode("paths").alias("tree", "prefix"))
-    groups = met.groupBy("tree", "prefix").agg(
-        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("m > 1")
-    kept = groups.groupBy("m", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("g")).select(F.col("g.tree").alias("g_tree"), F.col("g.prefix").alias("g_prefix"), "m")
-    members = written(met.join(kept, (F.col("tree") == F.col("g_tree")) & (F.col("prefix") == F.col("g_prefix"))).select("node", "tree", "prefix", "m"), "near-members")
+    nodes = signed.groupBy("node").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
+                                       F.first("stop").alias("stop"), F.first("paths").alias("paths"))
+    nodes = written(nodes.select("node", F.col("f.doc_id").alias("copy_id"), F.col("f.tkey").alias("tkey"), "copies", "size", "stop", "paths"), "near-nodes")
+
+    key = ["level", "tree", "prefix"]
+    trie = nodes.select(F.posexplode("paths").alias("tree", "path"), "stop", "node", "size").repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path")
+    met = written(trie.mapInArrow(_match, "level int, tree int, prefix long, node binary, size long, stop int"), "near-met")
+    groups = met.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("m"), F.sum(8 * F.col("size")).alias("bytes"), F.min(F.col("level") - F.col("stop")).alias("z"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("m > 1 AND z = 0")
+    kept = groups.groupBy("m", "x", "y", "level", "bytes").agg(F.min(F.struct("tree", "prefix")).alias("g")).select(
+        F.col("level").alias("g_level"), F.col("g.tree").alias("g_tree"), F.col("g.prefix").alias("g_prefix"),
+        F.least("m", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("bytes") / block_bytes))).cast("int").alias("blocks"))
+    same = (F.col("level") == F.col("g_level")) & (F.col("tree") == F.col("g_tree")) & (F.col("prefix") == F.col("g_prefix"))
+    members = written(met.join(kept, same).select("node", *key, "blocks"), "near-members")
 
     asked = members.select(F.col("node").alias("n")).distinct()
-    needed = nodes.join(asked, F.col("node") == F.col("n")).select("node", "copies", "paths", F.col("copy_id").alias("c_id"), F.col("tkey").alias("c_key"))
+    needed = nodes.join(asked, F.col("node") == F.col("n")).select("node", "paths", F.col("copy_id").alias("c_id"), F.col("tkey").alias("c_key"))
     texts = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tkey") == F.col("c_key")))
     sets = texts.select("node", "paths", "text").mapInArrow(_shingles(width), "node binary, paths array<long>, shingles binary")
     sets = written(sets.dropDuplicates(["node"]), "near-sets")
-    counted = needed.select(F.col("node").alias("n2"), "copies")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    placed = (members.withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("blocks")).cast("int"))
+    counted = nodes.join(asked, F.col("node") == F.col("n")).select(F.col("node").alias("n2"), "copies", "stop")
+    placed = (members.withColumn("blk", F.pmod(F.xxhash64(F.lit(2), "node"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("tree", "prefix", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", F.col("node").alias("n1")))
+              .select(*key, F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", F.col("node").alias("n1")))
     full = (placed.join(counted, F.col("n1") == F.col("n2")).join(sets, F.col("n1") == F.col("node"))
-            .select("tree", "prefix", "x", "y", "blk", "node", "copies", "paths", "shingles"))
-    key = ["tree", "prefix", "x", "y"]
-    found = full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify_groups(threshold), "node binary, root binary, texts long, docs long")
+            .select(*key, "x", "y", "blk", "node", "copies", "stop", "paths", "shingles"))
+    found = full.repartition(*key, "x", "y").sortWithinPartitions(*key, "x", "y").mapInArrow(_verify_groups(threshold), "node binary, root binary, texts long, docs long")
     found = written(found, "near-links")
 
     classes = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

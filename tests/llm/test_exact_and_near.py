@@ -8,7 +8,7 @@ import pytest
 
 from courierflow.llm.components import connected
 from courierflow.llm.exact_dedup import PatriciaTrie, exact_dedup
-from courierflow.llm.near_dup import forest_depth, near_duplicates, one_of_each
+from courierflow.llm.near_dup import MAX_DEPTH, _sign, forest_depth, least_similarity, near_duplicates, one_of_each, prefix, stop_depth, trie_runs
 
 from .corpus_cases import ROWS, empty, table, words
 
@@ -89,10 +89,10 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_near_duplicates_match_brute_force(spark, block):
+@pytest.mark.parametrize("block, block_bytes", [(256, 1 << 25), (3, 1 << 25), (256, 2000)])
+def test_near_duplicates_match_brute_force(spark, block, block_bytes):
     rows = near_rows()
-    got = near_duplicates(table(spark, rows, ("node", "class_id", "tree")), block=block).collect()
+    got = near_duplicates(table(spark, rows, ("node", "class_id", "tree")), block=block, block_bytes=block_bytes).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_near(rows)
 
 
@@ -114,6 +114,56 @@ def test_forest_depth_reaches_recall():
     assert 1 - (1 - 0.8 ** d) ** 32 >= 0.9999 and 1 - (1 - 0.8 ** (d + 1)) ** 32 < 0.9999
 
 
+def test_least_similarity_matches_all_partners():
+    for size in range(1, 60):
+        all_of = [k / (size + other - k) for other in range(1, 90) for k in range(1, min(size, other) + 1)
+                  if 5 * k >= 4 * (size + other - k) and not k == size == other]
+        least = least_similarity(size, (4, 5))
+        assert (least is None and not all_of) or float(least) == min(all_of)
+
+
+def stops_of(texts):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["d", "t", "x"])
+    return next(_sign(5, (4, 5), 32, 0.9999, 11)(iter([batch]))).column("stop").to_pylist()
+
+
+def test_prefixes_of_short_texts_stay_longer():
+    short = [" ".join(f"s{i}" for i in range(n)) for n in (10, 10, 11)]  # 6 and 7 shingles
+    long = [" ".join(f"l{i}" for i in range(n)) for n in (100, 500)]
+    assert stops_of(short) == [7, 7, 8] and stops_of(long) == [6, 6]
+    assert stops_of(["", "one", "one two three four five six seven"]) == [MAX_DEPTH + 1] * 3
+    for size in range(1, 300):
+        least, depth = least_similarity(size, (4, 5)), stop_depth(size, (4, 5), 32, MAX_DEPTH, 0.9999)
+        assert (least is None) == (depth > MAX_DEPTH)
+        assert least is None or 1 - (1 - float(least) ** depth) ** 32 >= 0.9999
+
+
+def test_short_texts_of_one_more_or_fewer_words_match_brute_force(spark):
+    rows = []
+    for g in range(30):
+        full = [f"g{g}w{i}" for i in range(16)]
+        rows += [(100 * g + n, " ".join(full[:n])) for n in range(1, 17)]
+    got = near_duplicates(table(spark, rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_near(rows)
+
+
+def test_trie_runs_match_pairs_at_the_longer_prefix():
+    rng = np.random.default_rng(5)
+    n = 400
+    tree, stop = rng.integers(0, 2, n), rng.integers(5, 9, n)
+    path = (rng.integers(0, 2, (n, 8)) << (8 * np.arange(7, -1, -1))).sum(1) - (1 << 62)
+    order = np.lexsort((path, tree))
+    tree, stop, path = tree[order], stop[order], path[order]
+    got = set()
+    for level, rows, at in trie_runs(tree, path, stop):
+        for i, a in zip(rows, at):
+            got |= {(i, j) for j, b in zip(rows, at) if i < j and a == b and tree[i] == tree[j] and max(stop[i], stop[j]) == level}
+    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if tree[i] == tree[j]
+                   and prefix(path[i], max(stop[i], stop[j])) == prefix(path[j], max(stop[i], stop[j]))}
+
+
 def test_components_of_paths_and_stars(spark):
     rng = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 202), (202, 200), (300, 300), (400, 401)]
