@@ -8,13 +8,13 @@ with MERGE support the same accepted-change DataFrames feed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courierflow.functions.values import patch_coalesce
 from courierflow.operators.ranking import rank_within_key
 from courierflow.schema import (REASON_BAD_QUANTITY, REASON_DUP_ITEM, REASON_ITEM_NOT_IN_RESTAURANT,
-                                REASON_ORDER_NOT_FOUND)
+                                REASON_ORDER_NOT_FOUND, REASON_RESTAURANT_NOT_FOUND, REASON_USER_NOT_FOUND)
 
 
 def assign_ids(batch: DataFrame, order: list, start_after: DataFrame | int, id_col: str = "id") -> DataFrame:
@@ -40,9 +40,11 @@ def apply_inserts(table: DataFrame, checked_batch: DataFrame, order: list, id_co
 
 def apply_patches(table: DataFrame, patches: DataFrame, key: str, columns: list[str],
                   fk_checks: list[tuple[str, DataFrame, str]] | tuple = (),
-                  not_found_reason: str = "Not found.") -> tuple[DataFrame, DataFrame]:
+                  not_found_reason: str = "Not found.",
+                  row_checks: list[tuple[Column, str]] | tuple = ()) -> tuple[DataFrame, DataFrame]:
     """M2: partial updates.  A patch for an unknown id, or whose non-null FK
-    value has no parent, is rejected; otherwise non-null patch values replace
+    value has no parent, or which fails one of ``row_checks`` (condition over the
+    patch, reason), is rejected; otherwise non-null patch values replace
     the stored ones (F5).  Returns (new table, rejected patches).
 
     Patches must be unique per id (reduce or reject repeats first, e.g.
@@ -55,6 +57,7 @@ def apply_patches(table: DataFrame, patches: DataFrame, key: str, columns: list[
         par = parent.select(F.col("id").alias(f"_fk_{col}")).withColumn(f"_ok_{col}", F.lit(True))
         p = p.join(par, p[col] == par[f"_fk_{col}"], "left").drop(f"_fk_{col}")
         rules.append((F.col(col).isNull() | F.col(f"_ok_{col}").isNotNull(), reason))
+    rules.extend(row_checks)
     reason = None
     for ok, text in rules:
         cond = ~F.coalesce(ok, F.lit(False))
@@ -81,13 +84,23 @@ def replace_order_items(order_item: DataFrame, patches: DataFrame) -> DataFrame:
     return kept.unionByName(new_lines.select(*order_item.columns))
 
 
-def check_order_patches(patches: DataFrame, orders: DataFrame, item: DataFrame) -> DataFrame:
-    """M2/M3: order patches (order_id, items) with a ``reject_reason``: every
-    quantity at least 1, the order exists, and, line by line, the item is not
-    a repeat and belongs to the order's restaurant.  Null items are not
-    checked (the lines stay)."""
+def check_order_patches(patches: DataFrame, orders: DataFrame, item: DataFrame,
+                        restaurant: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+    """M2/M3: order patches (order_id, items, and where given restaurant_id and
+    user_id) with a ``reject_reason``: every quantity at least 1, the order
+    exists, then the new restaurant and the new user, and, line by line, the
+    item is not a repeat and belongs to the restaurant that the order has after
+    the patch.  Null items are not checked (the lines stay)."""
     o = orders.select(F.col("id").alias("order_id"), F.col("restaurant_id").alias("_rest"))
-    known = patches.join(o, "order_id", "left")
+    known = patches.join(o, "order_id", "left").withColumn("_found", F.col("_rest").isNotNull())
+    given = []
+    for col, parent, text in (("restaurant_id", restaurant, REASON_RESTAURANT_NOT_FOUND), ("user_id", users, REASON_USER_NOT_FOUND)):
+        if col in patches.columns and parent is not None:
+            par = parent.select(F.col("id").alias(f"_p_{col}"))
+            known = known.join(par, F.col(col) == F.col(f"_p_{col}"), "left")
+            given.append((F.col(col).isNotNull() & F.col(f"_p_{col}").isNull(), text))
+    if "restaurant_id" in patches.columns:
+        known = known.withColumn("_rest", F.coalesce("restaurant_id", "_rest"))
     lines = known.where(F.col("items").isNotNull()).select(
         "order_id", "_rest", F.transform("items", lambda x: x["item_id"]).alias("_ids"), F.posexplode("items").alias("_pos", "_l"))
     i = item.select(F.col("id").alias("_item"), F.col("restaurant_id").alias("_item_rest"))
@@ -97,8 +110,10 @@ def check_order_patches(patches: DataFrame, orders: DataFrame, item: DataFrame)
     seen = lines.join(i, lines["_l.item_id"] == F.col("_item"), "left").groupBy("order_id").agg(
         F.min(fail).alias("_fail"), F.bool_or(F.coalesce(F.col("_l.quantity"), F.lit(1)) < 1).alias("_bad_quantity"))
     reason = (F.when(F.col("_bad_quantity"), F.lit(REASON_BAD_QUANTITY))
-              .when(F.col("_rest").isNull(), F.lit(REASON_ORDER_NOT_FOUND))
-              .otherwise(F.col("_fail.reason")))
+              .when(~F.col("_found"), F.lit(REASON_ORDER_NOT_FOUND)))
+    for missing, text in given:
+        reason = reason.when(missing, F.lit(text))
+    reason = reason.otherwise(F.col("_fail.reason"))
     return known.join(seen, "order_id", "left").select(*patches.columns, reason.alias("reject_reason"))
 
 

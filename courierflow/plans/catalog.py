@@ -32,6 +32,7 @@ PLAN_MODULES = [
     "courierflow.plans.position_views",
     "courierflow.plans.rule_views",
     "courierflow.plans.change_views",
+    "courierflow.plans.intake_views",
     "courierflow.plans.geo_views",
 ]
 

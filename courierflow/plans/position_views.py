@@ -112,15 +112,17 @@ def q_position_put(spark, sf_dir):
 
 
 @register("stream_positions", "S2", oracle("""
-    SELECT event_id AS message_id, event_id // 10 AS batch_id FROM events"""))
+    SELECT message_id, batch_id, CASE WHEN reject_reason IS NULL THEN courier_id END AS courier_id, CASE WHEN reject_reason IS NULL THEN ts END AS ts,
+           CASE WHEN reject_reason IS NULL THEN lat END AS lat, CASE WHEN reject_reason IS NULL THEN lon END AS lon, reject_reason
+    FROM d_msg""", [MSG_PARSED]))
 def q_stream_positions(spark, sf_dir):
-    """Every message read once through the streaming file source."""
+    """Every message read once through the streaming file source with its body, which is read out afterwards."""
     src = _message_files(spark, sf_dir, "s2")
     out, ck = _scratch(spark, "s2-out"), _scratch(spark, "s2-ck")
-    stream = read_message_stream(spark, src, max_files_per_trigger=2) \
-        .select("message_id", F.expr("message_id div 10").alias("batch_id"))
-    sp.start_append(stream, out, ck).awaitTermination()
-    return spark.read.parquet(out).select("message_id", "batch_id")
+    sp.start_append(read_message_stream(spark, src, max_files_per_trigger=2), out, ck).awaitTermination()
+    parsed = po.parse_messages(spark.read.parquet(out))
+    fields = [F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c) for c in ("courier_id", "ts", "lat", "lon")]
+    return parsed.select("message_id", F.expr("message_id div 10").alias("batch_id"), *fields, "reject_reason")
 
 
 @register("position_history_sink", "S3", oracle(CONDENSED_SQL, [MSG_PARSED]))

@@ -37,6 +37,9 @@ REASON_DELIVERY_NOT_FOUND = "Delivery not found."
 REASON_KITCHEN_NOT_FOUND = "Kitchen type not found."
 REASON_ORDER_HAS_DELIVERY = "Order already has an associated delivery."
 REASON_COURIER_BUSY = "Courier is currently busy with another delivery."
+REASON_ITEM_NOT_FOUND = "Item not found."
+REASON_KITCHEN_MISSING = "Kitchen not found."
+REASON_CONFLICT = "{entity} already exists or payload violates constraints."
 REASON_NO_ITEMS = "Order must contain at least one item."
 REASON_BAD_QUANTITY = "Item quantity must be at least 1."
 
