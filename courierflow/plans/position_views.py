@@ -142,6 +142,29 @@ def q_stream_condense(spark, sf_dir):
     return sp.read_history(spark, hist).drop("date")
 
 
+def _condense_with_copies(spark, sf_dir, name):
+    src = _message_files(spark, sf_dir, name)
+    hist, rej, ck, counts, tracks = (_scratch(spark, f"{name}-{x}") for x in ("history", "rejects", "ck", "counts", "tracks"))
+    sp.start_condense(read_message_stream(spark, src, max_files_per_trigger=2), hist, rej, ck, counts_path=counts, track_path=tracks).awaitTermination()
+    return counts, tracks
+
+
+@register("stream_batch_counts", "A8s", oracle("""
+    SELECT batch_id, CAST(count(*) AS BIGINT) AS n_messages, count(*) FILTER (WHERE reject_reason IS NULL) AS n_valid,
+           count(DISTINCT courier_id) FILTER (WHERE reject_reason IS NULL) AS n_written
+    FROM d_msg GROUP BY batch_id""", [MSG_PARSED]))
+def q_stream_batch_counts(spark, sf_dir):
+    """The counts that the condensing job writes as it runs."""
+    return sp.read_counts(spark, _condense_with_copies(spark, sf_dir, "a8")[0])
+
+
+@register("stream_delivery_tracks", "T4s", oracle(f"""
+    SELECT delivery_id, courier_id, ts, lat, lon FROM ({CONDENSED_SQL}) WHERE delivery_id IS NOT NULL""", [MSG_PARSED]))
+def q_stream_delivery_tracks(spark, sf_dir):
+    """The copy by delivery that the condensing job keeps."""
+    return sp.read_tracks(spark, _condense_with_copies(spark, sf_dir, "t4")[1])
+
+
 @register("stream_latest_position", "W2", oracle("""
     SELECT courier_id, ts, delivery_id, lat, lon
     FROM (SELECT m.*, row_number() OVER (PARTITION BY courier_id ORDER BY ts DESC, message_id DESC) AS rn

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from courierflow.operators.positions import (dedup_latest_in_batch, parse_messages, position_rejects,
+from courierflow.operators.positions import (batch_counts, dedup_latest_in_batch, parse_messages, position_rejects,
                                              valid_positions)
 from courierflow.schema import QUEUE_RETENTION_SECONDS
 
@@ -76,23 +76,64 @@ def compact_history(spark: SparkSession, path: str, into: str) -> None:
      .write.partitionBy("date", "job", "epoch").parquet(into))
 
 
-def condense_batch(history_path: str, reject_path: str):
+def write_tracks(condensed: DataFrame, path: str, epoch_id: int) -> None:
+    """T4's access path: a second copy of an epoch's positions by delivery.  It is
+    range-partitioned and sorted on (delivery_id, ts), so a delivery's rows lie in
+    one or two files of an epoch and row-group statistics skip the rest."""
+    put = condensed.where(F.col("delivery_id").isNotNull()).select(
+        "batch_id", "courier_id", "ts", "delivery_id", "lat", "lon", F.lit(time.time_ns() // 1000).alias("put_at"))
+    _write_epoch(put.repartitionByRange("delivery_id", "ts"), path, epoch_id, cluster_by=["delivery_id", "ts"])
+
+
+def read_tracks(spark: SparkSession, path: str, deliveries: list[str] | None = None) -> DataFrame:
+    """Positions by delivery, one row per (delivery_id, courier_id, ts); the filter on
+    ``deliveries`` reaches the scan.  A put that moves a (courier_id, ts) to another
+    delivery leaves its earlier row in the earlier track until ``compact_tracks``."""
+    rows = spark.read.parquet(path)
+    if deliveries is not None:
+        rows = rows.where(F.col("delivery_id").isin(*deliveries)) if deliveries else rows.where("1 = 0")
+    last = F.max_by(F.struct("lat", "lon"), F.struct(*_PUT_ORDER))
+    return rows.groupBy("delivery_id", "courier_id", "ts").agg(last.alias("r")).select("delivery_id", "courier_id", "ts", "r.*")
+
+
+def compact_tracks(spark: SparkSession, path: str, into: str) -> None:
+    """Rewrite the copy by delivery as one sorted set of files, last put per (courier_id, ts)."""
+    last = F.max_by(F.struct("delivery_id", "lat", "lon", *_PUT_ORDER), F.struct(*_PUT_ORDER))
+    rows = spark.read.parquet(path).groupBy("courier_id", "ts").agg(last.alias("r")).select("courier_id", "ts", "r.*")
+    rows = rows.withColumn("job", F.lit("compacted")).withColumn("epoch", F.lit(-1))
+    (rows.repartitionByRange("delivery_id", "ts").sortWithinPartitions("delivery_id", "ts")
+     .write.partitionBy("job", "epoch").parquet(into))
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """A8 as the running job wrote it, per receive batch (summed where a source split one)."""
+    return spark.read.parquet(path).groupBy("batch_id").agg(*[F.sum(c).alias(c) for c in ("n_messages", "n_valid", "n_written")])
+
+
+def condense_batch(history_path: str, reject_path: str, counts_path: str | None = None, track_path: str | None = None):
     """foreachBatch body of W1: parse, route rejects, keep the newest message
-    per (receive batch, courier), write both outputs for this epoch."""
+    per (receive batch, courier), write the outputs for this epoch; where a path
+    is given also the batch counts (A8) and the copy by delivery (T4)."""
     def fn(batch: DataFrame, epoch_id: int) -> None:
         parsed = parse_messages(batch).persist()
         try:
-            write_history(dedup_latest_in_batch(valid_positions(parsed)), history_path, epoch_id)
+            condensed = dedup_latest_in_batch(valid_positions(parsed))
+            write_history(condensed, history_path, epoch_id)
             _write_epoch(position_rejects(parsed), reject_path, epoch_id)
+            if counts_path:
+                _write_epoch(batch_counts(parsed), counts_path, epoch_id)
+            if track_path:
+                write_tracks(condensed, track_path, epoch_id)
         finally:
             parsed.unpersist()
     return fn
 
 
 def start_condense(stream: DataFrame, history_path: str, reject_path: str, checkpoint_path: str,
-                   available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+                   available_now: bool = True, processing_time: str | None = None,
+                   counts_path: str | None = None, track_path: str | None = None) -> StreamingQuery:
     """Receive -> dedup -> put -> acknowledge (= offset commit)."""
-    w = stream.writeStream.foreachBatch(condense_batch(history_path, reject_path)) \
+    w = stream.writeStream.foreachBatch(condense_batch(history_path, reject_path, counts_path, track_path)) \
         .option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "5 seconds")
     return w.start()

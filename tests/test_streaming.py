@@ -76,3 +76,53 @@ def test_status_stream_across_batches_equals_batch(spark):
              sm.status_transitions(spark.createDataFrame(rows, EVENT)).collect()}
     assert got == batch
     assert fold_requests(-1, seq)[0] == 5
+
+
+def test_counts_and_tracks_of_the_running_job(spark):
+    root = tempfile.mkdtemp(prefix="cf-tracks-")
+    src = os.path.join(root, "in")
+    os.makedirs(src)
+    t = 1704110400000
+
+    def report(mid, courier, delivery, ms):
+        return (mid, json.dumps({"courier_id": courier, "delivery_id": delivery, "lat": 1.0, "lng": 2.0, "timestamp": ms}))
+
+    _land(spark, src, "a", [report(0, 7, "d1", t), report(1, 7, "d1", t + 1), (2, "garbage"), report(3, 8, None, t), report(10, 9, "d2", t)])
+    hist, rej, ck, counts, tracks = (os.path.join(root, x) for x in ("hist", "rej", "ck", "counts", "tracks"))
+    for extra in ([], [report(20, 9, "d3", t)]):  # the second message moves a stored key to another delivery
+        if extra:
+            _land(spark, src, "b", extra)
+        sp.start_condense(read_message_stream(spark, src + "/*"), hist, rej, ck, counts_path=counts, track_path=tracks).awaitTermination()
+    assert {tuple(r) for r in sp.read_counts(spark, counts).collect()} == {(0, 4, 3, 2), (1, 1, 1, 1), (2, 1, 1, 1)}
+    assert {(r.delivery_id, r.courier_id) for r in sp.read_tracks(spark, tracks).collect()} == {("d1", 7), ("d2", 9), ("d3", 9)}
+    assert sp.read_tracks(spark, tracks, []).count() == 0
+    compact = os.path.join(root, "compact")
+    sp.compact_tracks(spark, tracks, compact)
+    assert {(r.delivery_id, r.courier_id) for r in sp.read_tracks(spark, compact).collect()} == {("d1", 7), ("d3", 9)}
+
+
+def test_a_delivery_lies_in_few_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    path = os.path.join(tempfile.mkdtemp(prefix="cf-tracks-"), "tracks")
+    rows = spark.range(40000).select(F.lit(0).alias("batch_id"), (F.col("id") % 97).alias("courier_id"),
+                                     F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)").alias("ts"),
+                                     F.lpad((F.col("id") * 7919 % 1000).cast("string"), 4, "0").alias("delivery_id"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    # partitions stay apart, as those of a large epoch do
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sp.write_tracks(rows, path, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    groups = []
+    for f in glob.glob(path + "/**/*.parquet", recursive=True):
+        meta = pq.ParquetFile(f).metadata
+        at = meta.schema.names.index("delivery_id")
+        groups += [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+    assert len(groups) > 1 and sum(g.min <= "0500" <= g.max for g in groups) <= 2
+    got = sp.read_tracks(spark, path, ["0500"])
+    assert "In(delivery_id" in got._jdf.queryExecution().toString() or "EqualTo(delivery_id" in got._jdf.queryExecution().toString()
+    assert got.count() == 40
