@@ -6,7 +6,11 @@ A document's words stream through it and give matching statistics: at each
 word, the longest run ending there that occurs in some template.  Matches that
 cannot grow are anchors (document position, template position, length);
 anchors that go forward in both and leave small gaps are chained, and a chain
-that covers enough of a template is a span.  Phrases are read off the same
+that covers enough of a template is a span.  Where spans overlap, the one with
+the most matched words stays (then the better covered, the earlier, the smaller label):
+a notice of one licence that differs from another's by a word counts once.  A
+paragraph that several licences share takes the label of the nearest span
+of one of them, else the first of them.  Phrases are read off the same
 automaton: a phrase ends at a word when its state lies on the suffix-link path
 of the current match.
 
@@ -42,28 +46,68 @@ PHRASES = [
 ]
 
 #: Widely used licence notices, as their publishers word them.
+#: A label of several words is a paragraph that these licences share.
 NOTICES = [
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as "
+             "published by the free software foundation either version 3 of the license or at your option any later version"),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
                "you may obtain a copy of the license at"),
     ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
                "basis without warranties or conditions of any kind either express or implied"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying "
+              "documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to "
+              "prepare derivative works of the software and to permit third parties to whom the software is furnished to do so"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
             "conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+            "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+            "documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not "
+            "limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+              "from this software without specific prior written permission"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nd", "licensed under cc by nd 4 0"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
             "published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
-            "merchantability or fitness for a particular purpose"),
+    ("gpl agpl lgpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty "
+                      "of merchantability or fitness for a particular purpose"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+            "the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties "
+            "of merchantability and fitness"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+             "published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+             "published by the free software foundation either version 3 of the license or at your option any later version"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
             "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
             "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit boost", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+                  "merchantability fitness for a particular purpose"),
     ("mit", "released under the mit license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell "
+                  "or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial "
+                  "and by any means"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+             "arising from the use of this software"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and "
+             "redistribute it freely"),
 ]
 
 MIN_MATCH = 3
@@ -194,8 +238,8 @@ class Scanner:
                 anchors.extend((t, first + i + 1 - length, end + 1 - length, length) for t, end in st[v].ends if t < len(self.sizes))
         return places, anchors
 
-    def chain(self, anchors: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Spans (label, first word, last word, coverage), the best non-overlapping ones of each template."""
+    def chain(self, anchors: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float, int]]:
+        """Spans (label, first word, last word, coverage, matched words), the best non-overlapping ones of each template."""
         spans = []
         for t in sorted({a[0] for a in anchors}):
             mine = sorted((s, ts, n) for k, s, ts, n in anchors if k == t)
@@ -213,18 +257,44 @@ class Scanner:
                 best.append(cover)
                 back.append(prev)
                 start.append(start[prev] if prev >= 0 else s)
-            found = sorted(((start[i], mine[i][0] + mine[i][2] - 1, min(1.0, best[i] / self.sizes[t])) for i in range(len(mine))), key=lambda x: (-x[2], x[0], x[1]))
-            taken: list[tuple[int, int, float]] = []
-            edges: list[int] = []
-            for a, b, c in found:
-                k = bisect.bisect_right(edges, a)
-                if (k == 0 or taken[k - 1][1] < a) and (k == len(edges) or taken[k][0] > b):
-                    edges.insert(k, a)
-                    taken.insert(k, (a, b, c))
-            spans.extend((self.labels[t], a, b, c) for a, b, c in taken)
+            found = sorted(((self.labels[t], start[i], mine[i][0] + mine[i][2] - 1, min(1.0, best[i] / self.sizes[t]), best[i]) for i in range(len(mine))),
+                           key=lambda x: (-x[3], x[1], x[2]))
+            spans.extend(_apart(found))
         return spans
 
 
+def _apart(spans: list[tuple]) -> list[tuple]:
+    """Spans that overlap none before them in the list, by place."""
+    taken, edges = [], []
+    for x in spans:
+        k = bisect.bisect_right(edges, x[1])
+        if (k == 0 or taken[k - 1][2] < x[1]) and (k == len(edges) or taken[k][1] > x[2]):
+            edges.insert(k, x[1])
+            taken.insert(k, x)
+    return taken
+
+
+def settle(spans: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float]]:
+    """Spans (label, first word, last word, coverage) by place: the best of overlapping ones, with shared paragraphs labelled."""
+    kept = _apart(sorted(spans, key=lambda s: (-s[4], -s[3], s[1], s[0])))
+    places: dict[str, list[int]] = {}
+    for label, first, *_ in kept:
+        if " " not in label:
+            places.setdefault(label, []).append(first)
+    out = []
+    for label, first, last, cover, _ in kept:
+        choices = label.split()
+        if len(choices) > 1:
+            near = []
+            for rank, c in enumerate(choices):
+                at = places.get(c, [])
+                k = bisect.bisect_right(at, first)
+                near.extend((abs(first - p), rank) for p in at[max(0, k - 1):k + 1])
+            label = choices[min(near)[1] if near else 0]
+        out.append((label, first, last, cover))
+    return out
+
+
 _SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
            "score double, spans array<struct<label:string,first_word:long,last_word:long,coverage:double>>")
 _SPAN = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("coverage", pa.float64())]))
@@ -253,13 +323,13 @@ def _scan(notices: list[tuple[str, str]], phrases: list[tuple[str, str]], min_co
                 for r, (places, anchors) in found.items():
                     own = {scanner.phrase_labels[k] for k, _ in places}
                     chained = scanner.chain(anchors)
-                    kept = [s for s in chained if s[3] >= min_coverage]
+                    kept = settle([s for s in chained if s[3] >= min_coverage])
                     if places:
                         n_base[r], first[r], last[r] = len(places), min(p for _, p in places), max(p for _, p in places)
                     base[r] = ",".join(sorted(own))
                     labels[r] = ",".join(sorted(own | {s[0] for s in kept}))
                     score[r] = max([0.0, *(s[3] for s in chained)])
-                    spans[r] = [dict(zip(("label", "first_word", "last_word", "coverage"), s)) for s in sorted(kept, key=lambda s: (s[1], s[2], s[0]))]
+                    spans[r] = [dict(zip(("label", "first_word", "last_word", "coverage"), s)) for s in kept]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words), pa.array(n_base), pa.array(first, pa.int64()), pa.array(last, pa.int64()),
                  pa.array(base), pa.array(labels), pa.array(score, pa.float64()), pa.array(spans, _SPAN)],

@@ -117,6 +117,39 @@ def test_changed_notice_is_found_and_unrelated_text_is_not(spark):
     assert license_scan(empty(spark)).collect() == []
 
 
+def test_close_relatives_get_their_own_label(spark):
+    """Notices that differ by a word, and paragraphs that licences share."""
+    texts = {label: text for label, text in NOTICES if "free software" in text or "creative commons" in text or "without fee" in text or "unencumbered" in text}
+    texts |= {label: text for label, text in NOTICES if label in ("boost", "bsd-3")}
+    shared = {label.split()[0]: text for label, text in NOTICES if " " in label}
+    rows = [(label, text) for label, text in texts.items()]
+    rows += [(label, f"{texts[label]} and more words here. {shared['gpl']}") for label in ("agpl", "gpl", "lgpl")]
+    rows += [("gpl", shared["gpl"]), ("boost", f"{texts['boost']} see below {shared['mit']}"), ("mit", shared["mit"]),
+             ("agpl,lgpl", f"{texts['agpl']} one two three {shared['gpl']} four five six {texts['lgpl']}"),
+             ("", "this work is licensed to nobody and the software is provided to all")]
+    got = {r.doc_id: r for r in license_scan(table(spark, [(i, "start " + t + " end") for i, (_, t) in enumerate(rows)])).collect()}
+    assert len(texts) > 12
+    for i, (label, _) in enumerate(rows):
+        assert ",".join(sorted(set(got[i].labels.split(",")) - set(got[i].base_labels.split(",")) | ({"gpl"} if label == "gpl" else set()))) == label, (label, got[i])
+        ends = [s.last_word for s in got[i].spans]
+        assert all(a < s.first_word for a, s in zip(ends, got[i].spans[1:]))
+
+
+def test_settled_spans_equal_greedy_choice():
+    import random
+
+    from courierflow.llm.license_scan import settle
+
+    rnd = random.Random(4)
+    for _ in range(60):
+        spans = [("ab"[rnd.random() < 0.5], s := rnd.randrange(60), s + rnd.randrange(9), rnd.choice([0.7, 0.9, 1.0]), rnd.randrange(3, 9)) for _ in range(14)]
+        want = []
+        for x in sorted(spans, key=lambda x: (-x[4], -x[3], x[1], x[0])):
+            if all(x[2] < y[1] or x[1] > y[2] for y in want):
+                want.append(x)
+        assert settle(spans) == [x[:4] for x in sorted(want, key=lambda x: x[1])]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=8), min_size=1, max_size=4), st.lists(st.integers(0, 4), max_size=20))
 def test_matching_statistics(templates, text):
