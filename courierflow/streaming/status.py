@@ -5,13 +5,25 @@ before the first).  Each micro-batch hands the function the new requests of
 one delivery, which it folds in (updated_at, id) order.  Requests are
 expected to arrive in time order (the original system stamps them on
 arrival); within a micro-batch they are sorted.
+
+Requests that arrive out of order take :func:`ordered_status_stream`: they are
+held in state by their millisecond until the watermark has passed it, so the
+result is that of the batch however they are spread over micro-batches.  A
+delivery's requests are never one frame: state is read a millisecond at a time.
+Requests later than the allowed delay are dropped by Spark and counted in the
+query's progress (``numRowsDroppedByWatermark``).  Timers fire in time order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from courierflow.schema import FINAL_STATUS, ORDER_STATUSES, REASON_FINAL, REASON_TRANSITION
 
@@ -65,3 +77,63 @@ def status_transition_stream(requests: DataFrame) -> DataFrame:
     """Labelled requests, appended as they are decided."""
     return requests.select("id", "delivery_id", "updated_at", "status").groupBy("delivery_id") \
         .applyInPandasWithState(_apply, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+class _OrderedFold(StatefulProcessor):
+    """Holds requests by millisecond and folds a millisecond once the watermark has passed it."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.ordinal = handle.getValueState("ordinal", "ordinal int")
+        self.held = handle.getMapState("held", "ms bigint", "ats array<bigint>, ids array<bigint>, statuses array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        for r in rows:
+            if r.id is None:  # a heartbeat: it only moves the watermark
+                continue
+            ms = -(-r.at // 1000)
+            known = self.held.containsKey((ms,))
+            before = self.held.getValue((ms,)) if known else ([], [], [])
+            self.held.updateValue((ms,), tuple([*b, x] for b, x in zip(before, (r.at, r.id, r.status))))
+            if not known:
+                self.handle.registerTimer(ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(zip(*self.held.getValue((ms,))), key=lambda x: x[:2])
+        now = self.ordinal.get()
+        ordinal, res = fold_requests(-1 if now is None else now[0], [x[2] for x in due])
+        self.ordinal.update((ordinal,))
+        self.held.removeKey((ms,))
+        for (at, ident, status), (accepted, before, reason) in zip(due, res):
+            yield Row(id=ident, delivery_id=key[0], at=at, status=status, accepted=accepted, state_before=before, reject_reason=reason)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_status_stream(requests: DataFrame, delay: str) -> DataFrame:
+    """Labelled requests, appended once no earlier one can arrive within ``delay`` any more.
+
+    A row without id is a heartbeat: its ``updated_at`` moves the watermark and it gives no result."""
+    out = T.StructType([T.StructField("at", T.LongType()) if f.name == "updated_at" else f for f in OUTPUT_SCHEMA])
+    timed = requests.select("id", "delivery_id", "status", F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, updated_at)").alias("at")) \
+        .withColumn("moment", F.timestamp_micros("at")).withWatermark("moment", delay)
+    labelled = timed.groupBy("delivery_id").transformWithState(_OrderedFold(), out, "Append", "EventTime")
+    return labelled.select("id", "delivery_id", F.expr(f"timestampadd(MICROSECOND, at, {_EPOCH})").alias("updated_at"), "status", "accepted", "state_before", "reject_reason")
+
+
+def start_on_rocksdb(spark: SparkSession, start) -> StreamingQuery:
+    """``start()`` with the state store that keyed state and timers need; other queries keep theirs."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return start()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)

@@ -9,7 +9,7 @@ from courierflow.operators import status_machine as sm
 from courierflow.schema import EVENT, RAW_MESSAGE
 from courierflow.sources.messages import read_message_stream
 from courierflow.streaming import positions as sp
-from courierflow.streaming.status import fold_requests, status_transition_stream
+from courierflow.streaming.status import fold_requests, ordered_status_stream, start_on_rocksdb, status_transition_stream
 
 
 def _msg(mid, courier, ms, lat):
@@ -126,3 +126,33 @@ def test_a_delivery_lies_in_few_row_groups(spark):
     got = sp.read_tracks(spark, path, ["0500"])
     assert "In(delivery_id" in got._jdf.queryExecution().toString() or "EqualTo(delivery_id" in got._jdf.queryExecution().toString()
     assert got.count() == 40
+
+
+def test_ordered_stream_of_shuffled_requests_equals_batch(spark):
+    """Requests dealt over micro-batches in any order, ties in time, an early READY, repeats, a null status."""
+    import random
+
+    from courierflow.streaming.status import PROVIDER
+
+    loose = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT)
+    before = spark.conf.get(PROVIDER, None)
+    rnd = random.Random(8)
+    root = tempfile.mkdtemp(prefix="cf-ordered-")
+    t0 = dt.datetime(2024, 1, 1)
+    names = ["CONFIRMED", "PREPARING", "READY_FOR_PICKUP", "PICKED_UP", "IN_TRANSIT", "DELIVERED"]
+    rows = []
+    for d in range(6):
+        for i, s in enumerate(names + ["CONFIRMED", None] + rnd.sample(names, 3)):
+            rows.append((len(rows) + 1, s, t0 + dt.timedelta(microseconds=rnd.randrange(4_000_000) if d else i * 500), d))
+    rnd.shuffle(rows)
+    late = (None, None, t0 + dt.timedelta(hours=2), None)
+    for k, part in enumerate([rows[:35], rows[35:], [late]]):
+        spark.createDataFrame(part, loose).coalesce(1).write.parquet(os.path.join(root, f"in/p{k}"))
+        stream = spark.readStream.schema(loose).parquet(root + "/in/*")
+        start_on_rocksdb(spark, lambda: sp.start_append(ordered_status_stream(stream, "1 hour"), root + "/out", root + "/ck")).awaitTermination()  # noqa: B023
+        if k < 2:  # nothing is decided before the watermark passes
+            assert not os.path.exists(root + "/out") or spark.read.schema("id bigint").parquet(root + "/out").count() == 0
+    label = lambda r: (r.id, r.delivery_id, r.updated_at, r.status, r.accepted, r.state_before, r.reject_reason)
+    got = sorted(map(label, spark.read.parquet(root + "/out").collect()), key=str)
+    assert len(got) == len(rows) and spark.conf.get(PROVIDER, None) == before
+    assert got == sorted(map(label, sm.status_transitions(spark.createDataFrame(rows, loose)).collect()), key=str)
