@@ -5,6 +5,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from courierflow.operators import status_machine as sm
 from courierflow.schema import EVENT, RAW_MESSAGE
 from courierflow.sources.messages import read_message_stream
@@ -156,3 +158,26 @@ def test_ordered_stream_of_shuffled_requests_equals_batch(spark):
     got = sorted(map(label, spark.read.parquet(root + "/out").collect()), key=str)
     assert len(got) == len(rows) and spark.conf.get(PROVIDER, None) == before
     assert got == sorted(map(label, sm.status_transitions(spark.createDataFrame(rows, loose)).collect()), key=str)
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_groups_of_deliveries_share_a_call_and_keep_large_and_null_ids(spark, ordered):
+    """900 deliveries in 4 groups: a call and a state row per group; ids beyond 2^53 beside null ones."""
+    loose = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT)
+    root = tempfile.mkdtemp(prefix="cf-groups-")
+    t0, big = dt.datetime(2024, 1, 1), (1 << 60) + 1
+    names = ["CONFIRMED", "READY_FOR_PICKUP", "PREPARING"]
+    rows = [(big + 3 * d + i, s, t0 + dt.timedelta(seconds=d + i), None if d == 0 else big + d) for d in range(900) for i, s in enumerate(names)]
+    late = [(None, None, t0 + dt.timedelta(hours=9), None)] if ordered else []
+    for k, part in enumerate([rows[:1500], rows[1500:], late]):
+        if not part:
+            continue
+        spark.createDataFrame(part, loose).coalesce(1).write.parquet(os.path.join(root, f"in/p{k}"))
+        stream = spark.readStream.schema(loose).parquet(root + "/in/*")
+        labelled = ordered_status_stream(stream, "1 hour", buckets=4) if ordered else status_transition_stream(stream, buckets=4)
+        query = start_on_rocksdb(spark, lambda: sp.start_append(labelled, root + "/out", root + "/ck"))  # noqa: B023
+        query.awaitTermination()
+        assert query.lastProgress.stateOperators[0].numRowsTotal <= 4
+    got = spark.read.parquet(root + "/out")
+    assert got.where("accepted").groupBy("delivery_id").count().where("count = 2").count() == 900
+    assert {(r.id, r.delivery_id) for r in got.collect()} == {(r[0], r[3]) for r in rows}
