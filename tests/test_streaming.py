@@ -1,6 +1,7 @@
 """Streaming jobs: replay safety, order independence, stream = batch."""
 
 import datetime as dt
+import glob
 import json
 import os
 import tempfile
@@ -181,3 +182,22 @@ def test_groups_of_deliveries_share_a_call_and_keep_large_and_null_ids(spark, or
     got = spark.read.parquet(root + "/out")
     assert got.where("accepted").groupBy("delivery_id").count().where("count = 2").count() == 900
     assert {(r.id, r.delivery_id) for r in got.collect()} == {(r[0], r[3]) for r in rows}
+
+
+def test_micro_batches_get_more_files_as_messages_grow(spark, monkeypatch):
+    """1,000 messages, 50 a file: four micro-batches of five files each, every message once."""
+    from courierflow.plans import position_views as pv
+    from courierflow.session import checkpoint_dir
+
+    root = tempfile.mkdtemp(prefix="cf-files-")
+    spark.range(1000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 3}' AS props") \
+        .write.parquet(root + "/events.parquet")
+    monkeypatch.setattr(pv, "MESSAGES_PER_FILE", 50)
+    name = os.path.basename(root)
+    query = sp.start_append(pv._message_stream(spark, root, name), root + "/out", root + "/ck")
+    query.awaitTermination()
+    assert [p.numInputRows > 0 for p in query.recentProgress] == [True] * 4
+    landed = checkpoint_dir(spark).removeprefix("file:") + f"/{name}-in-*/*.parquet"
+    assert len(glob.glob(landed)) == 20
+    got = spark.read.parquet(root + "/out").select("message_id")
+    assert got.count() == 1000 == got.distinct().count()
