@@ -17,6 +17,7 @@ from courierflow.operators import merge as mg
 from courierflow.operators import rules as ru
 from courierflow.schema import (NAME_MAX_LEN, PHONE_MAX_LEN, REASON_CONFLICT, REASON_ITEM_NOT_FOUND, REASON_KITCHEN_MISSING,
                                 REASON_KITCHEN_NOT_FOUND, REASON_RESTAURANT_NOT_FOUND)
+from courierflow.session import written
 
 
 def _accepted(checked: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def insert_orders(requests: DataFrame, lines: DataFrame, orders: DataFrame, rest
     """M1, orders with lines: a request (``order_id``, its arrival number, ``restaurant_id, user_id``)
     and all its lines (``order_id, line_no, item_id, quantity``), or neither; rules of V7.
     Returns (new orders with their ``request_id``, new lines, outcomes)."""
-    checked = ru.validate_order_payload(requests, lines, restaurant, users, item)
+    checked = written(ru.validate_order_payload(requests, lines, restaurant, users, item), "checked-orders")
     fresh = mg.assign_ids(_accepted(checked), ["order_id"], orders).select(
         "id", F.col("order_id").alias("request_id"), "restaurant_id", "user_id")
     ids = fresh.select("request_id", F.col("id").alias("_id"))
@@ -108,7 +109,7 @@ def patch_orders(patches: DataFrame, orders: DataFrame, order_item: DataFrame, r
     """M2/M3, orders (``order_id, restaurant_id, user_id, items``, null: keep): items are checked
     against the restaurant that the order has after the patch; without items the stored lines
     stay, whatever the restaurant.  Returns (new orders, new lines, outcomes)."""
-    checked = mg.check_order_patches(patches, orders, item, restaurant, users)
+    checked = written(mg.check_order_patches(patches, orders, item, restaurant, users), "checked-patches")
     good = _accepted(checked)
     new, _ = mg.apply_patches(orders, good.select(F.col("order_id").alias("id"), "restaurant_id", "user_id"), "id", ["restaurant_id", "user_id"])
     return new, mg.replace_order_items(order_item, good.select("order_id", "items")), checked

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from courierflow.operators import intake as ik
 from courierflow.plans.catalog import register
 from courierflow.plans.oracle_views import oracle
+from courierflow.session import written
 from courierflow.sources.fixtures import tables
 
 # -- kitchens and restaurants ---------------------------------------------------
@@ -122,9 +123,14 @@ ORDER_CHECKED = ("c_order", """
                WHERE reason IS NOT NULL GROUP BY order_id) f ON f.order_id = b.order_id""")
 
 
-def _insert_orders(t):
+def _lines_with_restaurant(t):
+    """Numbered order lines with the restaurant of their item, written once: the branches below do not number them again."""
     i = t.item.select(F.col("id").alias("item_id"), F.col("restaurant_id").alias("_rest"))
-    lines = t.order_item_raw.join(i, "item_id")
+    return written(t.order_item_raw.join(i, "item_id"), "order-lines")
+
+
+def _insert_orders(t):
+    lines = _lines_with_restaurant(t)
     first = lines.where("line_no = 1").select(F.col("order_id").alias("_o"), F.col("_rest").alias("_first"))
     requests = t.orders.join(first, F.col("id") == F.col("_o")).select(
         F.col("id").alias("order_id"), F.col("_first").alias("restaurant_id"),
@@ -132,7 +138,7 @@ def _insert_orders(t):
     quantity = F.when(F.col("order_id") % 11 == 0, F.lit(0)).when(F.col("line_no") != 1, F.col("quantity"))
     sent = lines.join(first, F.col("order_id") == F.col("_o")).where((F.col("order_id") % 4 == 0) | (F.col("_rest") == F.col("_first"))).select(
         "order_id", "line_no", "item_id", quantity.alias("quantity"))
-    return ik.insert_orders(requests, sent, t.orders, t.restaurant, t.users, t.item)
+    return ik.insert_orders(written(requests, "order-requests"), written(sent, "sent-lines"), t.orders, t.restaurant, t.users, t.item)
 
 
 @register("insert_orders", "M1o", oracle("""
@@ -212,8 +218,7 @@ PATCH_CHECKED = ("c_patch", """
 
 
 def _patch_orders(t):
-    i = t.item.select(F.col("id").alias("item_id"), F.col("restaurant_id").alias("_rest"))
-    lines = t.order_item_raw.join(i, "item_id")
+    lines = _lines_with_restaurant(t)
     first = lines.where("line_no = 1").select(F.col("order_id").alias("_o"), F.col("_rest").alias("_first"))
     quantity = F.when(F.col("order_id") % 11 == 0, F.lit(0)).when(F.col("line_no") != 1, F.col("quantity")).cast("int")
     sent = lines.join(first, F.col("order_id") == F.col("_o")).where((F.col("order_id") % 4 == 0) | (F.col("_rest") == F.col("_first"))).groupBy("order_id", "_first").agg(
@@ -224,7 +229,7 @@ def _patch_orders(t):
         "order_id", F.when(k == 2, F.lit(-1)).when(k != 4, F.col("_first")).cast("long").alias("restaurant_id"),
         F.when(k == 3, F.lit(-1)).when(F.col("order_id") % 2 == 0, F.col("_user") + 1).cast("long").alias("user_id"),
         F.when(k != 1, items).alias("items"))
-    return ik.patch_orders(patches, t.orders.select("id", "restaurant_id", "user_id"), t.order_item.select("order_id", "item_id", "quantity"),
+    return ik.patch_orders(written(patches, "order-patches"), t.orders.select("id", "restaurant_id", "user_id"), t.order_item.select("order_id", "item_id", "quantity"),
                            t.restaurant, t.users, t.item)
 
 

@@ -100,3 +100,15 @@ def test_item_patches(spark):
         new, rejected = ik.patch_items(spark.createDataFrame([patch], item.schema), item, restaurant)
         assert [r.reject_reason for r in rejected.collect()] == ([reason] if reason else [])
         assert [tuple(r) for r in new.where("id = 1").collect()] == [row] and new.count() == 2
+
+
+def test_order_intake_numbers_and_checks_lines_once(spark):
+    """The plans of the results read written tables: lines are not numbered and payloads not checked again per branch."""
+    from courierflow.plans import intake_views as iv
+    from courierflow.sources.fixtures import tables
+
+    t = tables(spark, "/root/testdata/sf0.001")
+    rejects = iv._insert_orders(t)[2]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in rejects and "Join" not in rejects
+    patched = iv._patch_orders(t)[2]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in patched and "Join" not in patched
